@@ -80,10 +80,14 @@ def clean_album_title(value: ColumnOrName) -> Column:
 
 
 def sanitize_filename(value: ColumnOrName) -> Column:
-    """Name that is safe as a file or folder name."""
+    """Name that is safe as a file or folder name.
+
+    Only dots become empty; dots after leading blanks stay.
+    """
     swapped = F.translate(col(value), '<>:"/\\|?*\t\r\n', "_________   ")
     started = F.ltrim(swapped)
-    return F.when(started == "", "_").otherwise(F.rtrim(started, F.lit(" .")))
+    ended = F.rtrim(started, F.lit(" ."))
+    return F.when(started == "", "_").when((ended == "") & F.startswith(swapped, F.lit(" ")), started).otherwise(ended)
 
 
 def escape_lucene(value: ColumnOrName) -> Column:

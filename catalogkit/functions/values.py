@@ -40,12 +40,16 @@ def format_release_date(year: ColumnOrName, month: ColumnOrName, day: ColumnOrNa
 
 
 def format_elapsed(seconds: ColumnOrName) -> Column:
+    """MM:SS; minutes run on past the hour."""
+    s = F.floor(col(seconds)).cast("int")
+    return F.format_string("%02d:%02d", F.floor(s / 60).cast("int"), s % 60)
+
+
+def format_eta(seconds: ColumnOrName) -> Column:
     """MM:SS, or HH:MM:SS from one hour on."""
     s = F.floor(col(seconds)).cast("int")
-    hours, minutes, rest = F.floor(s / 3600).cast("int"), F.floor(s / 60).cast("int") % 60, s % 60
-    return F.when(s >= 3600, F.format_string("%02d:%02d:%02d", hours, minutes, rest)).otherwise(
-        F.format_string("%02d:%02d", minutes, rest)
-    )
+    long_form = F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("int"), F.floor(s / 60).cast("int") % 60, s % 60)
+    return F.when(s >= 3600, long_form).otherwise(format_elapsed(s))
 
 
 def cover_quality_score(width: ColumnOrName, height: ColumnOrName, sharpness: ColumnOrName) -> Column:

@@ -215,21 +215,23 @@ def switch_language(items: DataFrame, members: DataFrame, language: str) -> Data
     return joined.withColumns(updates).select(*items.columns)
 
 
-def progress_summary(items: DataFrame, started: ColumnOrName, now: ColumnOrName) -> DataFrame:
-    """Share done, elapsed time, rate and expected rest of a run."""
-    from ..functions.values import format_elapsed
+def progress_summary(items: DataFrame, elapsed_seconds: ColumnOrName) -> DataFrame:
+    """One row: items done of all, elapsed time and expected rest of a run.
 
-    elapsed = F.unix_timestamp(col(now)) - F.unix_timestamp(col(started))
+    The rest is empty until something is done and half a second has passed.
+    """
+    from ..functions.values import format_elapsed, format_eta
+
+    elapsed = col(elapsed_seconds)
+    done, total = F.col("done"), F.col("total")
     counts = items.agg(F.count("*").alias("total"), F.count_if("is_fetched").alias("done"))
-    rate = F.when((F.col("done") > 0) & (elapsed > 0), F.col("done") / elapsed)
-    rest = (F.col("total") - F.col("done")) / rate
-    return counts.select(
-        "total",
-        "done",
-        format_elapsed(elapsed).alias("elapsed"),
-        F.coalesce(rate, F.lit(0.0)).alias("rate"),
-        F.coalesce(format_elapsed(rest), F.lit("")).alias("eta"),
+    speed = done / elapsed
+    eta = (
+        F.when((done == 0) | (elapsed < 0.5), "")
+        .when(done >= total, "00:00")
+        .otherwise(format_eta((total - done) / speed))
     )
+    return counts.select("total", "done", format_elapsed(elapsed).alias("elapsed"), eta.alias("eta"))
 
 
 def with_first_names(items: DataFrame) -> DataFrame:
