@@ -72,7 +72,7 @@ def release_summary(items: DataFrame) -> DataFrame:
     """
 
     def first(value: str, condition: Column) -> Column:
-        return F.min_by(value, "seq").filter(condition)
+        return F.min_by(value, F.when(condition, F.col("seq")))
 
     def filled(name: str) -> Column:
         return F.col(name) != ""
@@ -187,7 +187,7 @@ def apply_to_album(items: DataFrame, edits: DataFrame, members: DataFrame) -> Da
     changes = (
         members.join(edits, "ref_seq")
         .groupBy("seq")
-        .agg(*[F.max_by(c, "ref_seq").filter(F.col(c).isNotNull()).alias(f"_{c}") for c in fields])
+        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ref_seq"))).alias(f"_{c}") for c in fields])
     )
     return items.join(changes, "seq", "left").select(
         *[F.coalesce(f"_{c}", c).alias(c) if c in fields else c for c in items.columns]

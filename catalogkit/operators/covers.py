@@ -88,8 +88,8 @@ def batch_covers(items: DataFrame, batch: str = "batch") -> DataFrame:
     any_cover = F.nullif(first_filled("online_cover", "local_cover"), F.lit(""))
     chosen = items.withColumns({"_own": own, "_any": any_cover})
     fallback = chosen.groupBy(batch).agg(
-        F.min_by("_own", "seq").filter(F.col("_own").isNotNull()).alias("_picked"),
-        F.min_by("_any", "seq").filter(F.col("_any").isNotNull()).alias("_first"),
+        F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col("seq"))).alias("_picked"),
+        F.min_by("_any", F.when(F.col("_any").isNotNull(), F.col("seq"))).alias("_first"),
     )
     return chosen.join(fallback, batch, "left").select(
         *items.columns,
