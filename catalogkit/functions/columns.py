@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def col(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used.
+
+    Branches of a CASE do not share work otherwise, and nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text(value: ColumnOrName) -> Column:
     """The value as text, with NULL read as empty."""
     return F.coalesce(col(value), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
-from .columns import ColumnOrName, col, filled, first_filled, leading_int
+from .columns import ColumnOrName, col, filled, first_filled, leading_int, let
 
 UNKNOWN_ARTIST = "Unknown Artist"
 UNKNOWN_ALBUM = "Unknown Album"
@@ -161,55 +161,64 @@ def _path_part(path: Column, from_end: int) -> Column:
 def parse_catalog_path(rel_path: ColumnOrName) -> Column:
     """Tags from artist/album/file, for the catalog table."""
     path = col(rel_path)
-    stem, ext = T.file_stem(path), T.file_extension(path)
+    is_flac = T.file_extension(path) == ".flac"
     artist, album = _path_part(path, 3), _path_part(path, 2)
-    numbered, before, after = T.split_numbered(stem, [". ", "- "], need_digit=True)
-    title = T.trim_markup(F.when(numbered, F.substring(after, F.lit(2), F.length(after))).otherwise(stem))
-    return F.struct(
-        F.when(artist.isin("", "media", "music"), UNKNOWN_ARTIST).otherwise(artist).alias("artist"),
-        F.when(album == "", UNKNOWN_ALBUM).otherwise(album).alias("album"),
-        F.when(title == "", stem).otherwise(title).alias("title"),
-        F.when(numbered, before).otherwise("").alias("track_no"),
-        F.when(ext == ".flac", "FLAC").otherwise("MP3").alias("format"),
-        F.when(ext == ".flac", 1411).otherwise(320).alias("bitrate_kbps"),
-    )
+
+    def tags(n: Column) -> Column:
+        rest = F.substring(n["after"], F.lit(2), F.length(n["after"]))
+        title = T.trim_markup(F.when(n["numbered"], rest).otherwise(n["stem"]))
+        return F.struct(
+            F.when(artist.isin("", "media", "music"), UNKNOWN_ARTIST).otherwise(artist).alias("artist"),
+            F.when(album == "", UNKNOWN_ALBUM).otherwise(album).alias("album"),
+            first_filled(title, n["stem"]).alias("title"),
+            F.when(n["numbered"], n["before"]).otherwise("").alias("track_no"),
+            F.when(is_flac, "FLAC").otherwise("MP3").alias("format"),
+            F.when(is_flac, 1411).otherwise(320).alias("bitrate_kbps"),
+        )
+
+    return let(T.split_numbered(T.file_stem(path), [". ", "- "], need_digit=True), tags)
 
 
 def parse_review_path(path: ColumnOrName) -> Column:
     """Tags from the folders and the file name, for review."""
     full = col(path)
-    stem = T.file_stem(full)
     album_folder = _path_part(full, 2)
-    numbered, before, after = T.split_numbered(stem, [". ", "- ", "_"], need_digit=True)
-    number = F.regexp_replace(before, "[^0-9]+$", "")
-    number = F.when(F.length(number) == 1, F.concat(F.lit("0"), number)).otherwise(number)
-    trimmed = F.ltrim(after, F.lit(" \t.-_"))
-    artist = T.clean_metadata(_path_part(full, 3))
-    return F.struct(
-        F.when(
-            artist.isin("", "TO SORT", "media", "music"),
-            first_filled(extract_artist_from_filename(T.file_name(full)), F.lit(UNKNOWN_ARTIST)),
+
+    def known_artist(name: Column) -> Column:
+        from_file = first_filled(extract_artist_from_filename(T.file_name(full)), F.lit(UNKNOWN_ARTIST))
+        return F.when(name.isin("", "TO SORT", "media", "music"), from_file).otherwise(name)
+
+    def two_digits(number: Column) -> Column:
+        return F.when(F.length(number) == 1, F.concat(F.lit("0"), number)).otherwise(number)
+
+    def tags(n: Column) -> Column:
+        number = let(F.regexp_replace(n["before"], "[^0-9]+$", ""), two_digits)
+        title = first_filled(F.ltrim(n["after"], F.lit(" \t.-_")), n["after"])
+        return F.struct(
+            let(T.clean_metadata(_path_part(full, 3)), known_artist).alias("artist"),
+            first_filled(T.clean_album_title(album_folder), T.clean_metadata(album_folder)).alias("album"),
+            F.when(n["numbered"], title).otherwise(n["stem"]).alias("title"),
+            F.when(n["numbered"], number).otherwise("01").alias("track_no"),
+            extract_year(full).alias("year"),
         )
-        .otherwise(artist)
-        .alias("artist"),
-        first_filled(T.clean_album_title(album_folder), T.clean_metadata(album_folder)).alias("album"),
-        F.when(numbered, first_filled(trimmed, after)).otherwise(stem).alias("title"),
-        F.when(numbered, number).otherwise("01").alias("track_no"),
-        extract_year(full).alias("year"),
-    )
+
+    return let(T.split_numbered(T.file_stem(full), [". ", "- ", "_"], need_digit=True), tags)
 
 
 def parse_mirror_path(path: ColumnOrName) -> Column:
     """Tags from the folders as they stand, for retagging mirrored files."""
     full = col(path)
-    stem = T.file_stem(full)
-    numbered, before, after = T.split_numbered(stem, [". "], need_digit=False)
-    return F.struct(
-        _path_part(full, 3).alias("artist"),
-        _path_part(full, 2).alias("album"),
-        F.when(numbered, F.substring(after, F.lit(2), F.length(after))).otherwise(stem).alias("title"),
-        F.when(numbered, before).otherwise("").alias("track_no"),
-    )
+
+    def tags(n: Column) -> Column:
+        rest = F.substring(n["after"], F.lit(2), F.length(n["after"]))
+        return F.struct(
+            _path_part(full, 3).alias("artist"),
+            _path_part(full, 2).alias("album"),
+            F.when(n["numbered"], rest).otherwise(n["stem"]).alias("title"),
+            F.when(n["numbered"], n["before"]).otherwise("").alias("track_no"),
+        )
+
+    return let(T.split_numbered(T.file_stem(full), [". "], need_digit=False), tags)
 
 
 def leading_track_no(filename: ColumnOrName) -> Column:

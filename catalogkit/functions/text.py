@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnOrName, col
+from .columns import ColumnOrName, col, let
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -45,17 +45,22 @@ def strip_brackets(value: ColumnOrName) -> Column:
 
     Stray closers go; an opener that is never closed takes the rest with it.
     """
-    raw = col(value)
-    flat = F.translate(raw, "[{]}", "(())")
-    for _ in range(_FLAT_DEPTH):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", "")
-    deep = flat.rlike(r"\([^()]*\)")
-    flat = F.translate(F.regexp_replace(flat, r"(?s)\(.*$", ""), ")", "")
-    return (
-        F.when(~raw.rlike(r"[\[\](){}]"), raw)
-        .when(deep, _fold_brackets(raw))
-        .otherwise(flat)
-    )
+
+    def flatten(raw: Column) -> Column:
+        flat = F.translate(raw, "[{]}", "(())")
+        for _ in range(_FLAT_DEPTH):
+            flat = F.regexp_replace(flat, r"\([^()]*\)", "")
+        return flat
+
+    def finish(raw: Column) -> Column:
+        return let(
+            flatten(raw),
+            lambda flat: F.when(flat.rlike(r"\([^()]*\)"), _fold_brackets(raw)).otherwise(
+                F.translate(F.regexp_replace(flat, r"(?s)\(.*$", ""), ")", "")
+            ),
+        )
+
+    return let(col(value), lambda raw: F.when(raw.rlike(r"[\[\](){}]"), finish(raw)).otherwise(raw))
 
 
 def clean_metadata(value: ColumnOrName) -> Column:
@@ -121,29 +126,38 @@ def parent_folder(path: ColumnOrName) -> Column:
     return F.regexp_extract(col(path), r"(?s)^(.*)[/\\][^/\\]*$", 1)
 
 
-def split_numbered(stem: Column, separators: list[str], need_digit: bool) -> tuple[Column, Column, Column]:
-    """Look for a leading track number in a file stem.
+def split_numbered(stem: ColumnOrName, separators: list[str], need_digit: bool) -> Column:
+    """STRUCT<stem, numbered, before, after> of a file stem with a leading track number.
 
     Separators are tried in turn and the first one found anywhere decides, even
-    when it lies too far right to end a number. Returns (is numbered, the text
-    before, the text from one byte after the separator's start).
+    when it lies too far right to end a number. ``after`` starts one place after
+    the separator's start.
     """
-    chosen = F.when(F.contains(stem, F.lit(separators[0])), F.lit(separators[0]))
-    for sep in separators[1:]:
-        chosen = chosen.when(F.contains(stem, F.lit(sep)), F.lit(sep))
-    before = F.call_function("substring_index", stem, chosen, F.lit(1))
-    numbered = chosen.isNotNull() & (F.octet_length(before) <= 4)
-    if need_digit:
-        numbered = numbered & stem.rlike("^[0-9]")
-    after = F.substring(stem, F.length(before) + 2, F.length(stem))
-    return F.coalesce(numbered, F.lit(False)), before, after
+
+    def head(s: Column) -> Column:
+        chosen = F.when(F.contains(s, F.lit(separators[0])), F.lit(separators[0]))
+        for sep in separators[1:]:
+            chosen = chosen.when(F.contains(s, F.lit(sep)), F.lit(sep))
+        return F.call_function("substring_index", s, chosen, F.lit(1))
+
+    def split(s: Column, before: Column) -> Column:
+        numbered = before.isNotNull() & (F.octet_length(before) <= 4)
+        if need_digit:
+            numbered = numbered & s.rlike("^[0-9]")
+        return F.struct(
+            s.alias("stem"),
+            F.coalesce(numbered, F.lit(False)).alias("numbered"),
+            before.alias("before"),
+            F.substring(s, F.length(before) + 2, F.length(s)).alias("after"),
+        )
+
+    return let(col(stem), lambda s: let(head(s), lambda before: split(s, before)))
 
 
 def normalize_track_name(value: ColumnOrName) -> Column:
     """Key of a file name or a title line, without its leading number."""
-    stem = file_stem(value)
-    numbered, _, after = split_numbered(stem, [". ", "- ", "_"], need_digit=True)
-    return normalize_key(F.when(numbered, after).otherwise(stem))
+    parts = split_numbered(file_stem(value), [". ", "- ", "_"], need_digit=True)
+    return normalize_key(let(parts, lambda p: F.when(p["numbered"], p["after"]).otherwise(p["stem"])))
 
 
 def url_encode_rfc3986(value: ColumnOrName) -> Column:

@@ -9,20 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogkit.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, on all cores even when the file is a single split."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def padded(column: str, width: int) -> Column:
     return F.lpad(F.col(column).cast("string"), width, "0")
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with part and supplier names and a unique position ``seq``."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+    lines = spread_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -183,7 +190,7 @@ items AS (
 
 def recordings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprinted files from documents: one 32-bit frame per word of the whole text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     frame = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
     ext = F.when(F.col("doc_id") % 3 == 0, ".mp3").otherwise(".flac")
