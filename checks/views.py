@@ -38,7 +38,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .withColumn(
             "seq",
-            F.concat(padded("l_orderkey", 12), F.col("l_linenumber"), padded("l_partkey", 12), padded("l_suppkey", 12)),
+            F.concat(
+                padded("l_orderkey", 12), F.col("l_linenumber"), padded("l_partkey", 12), padded("l_suppkey", 12),
+                F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0"),
+            ),
         )
     )
 
@@ -47,7 +50,7 @@ SALES_SQL = """
 sales AS (
   SELECT l.*, p_name, p_brand, p_type, p_size, s_name,
     lpad(l_orderkey::VARCHAR, 12, '0') || l_linenumber::VARCHAR || lpad(l_partkey::VARCHAR, 12, '0')
-      || lpad(l_suppkey::VARCHAR, 12, '0') AS seq
+      || lpad(l_suppkey::VARCHAR, 12, '0') || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0') AS seq
   FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 )"""
 
