@@ -34,8 +34,14 @@ def filled(value: ColumnOrName) -> Column:
 
 
 def first_filled(*values: ColumnOrName) -> Column:
-    """The first value that is neither NULL nor empty, else empty."""
-    return F.coalesce(*[filled(v) for v in values], F.lit(""))
+    """The first value that is neither NULL nor empty, else empty.
+
+    Each value is computed once, where a chain of NULLIFs computes it twice per step.
+    """
+    if all(isinstance(v, str) for v in values):
+        return F.coalesce(*[filled(v) for v in values], F.lit(""))
+    present = F.filter(F.array(*[col(v) for v in values]), lambda v: v != "")
+    return F.coalesce(F.get(present, 0), F.lit(""))
 
 
 def leading_int(value: ColumnOrName) -> Column:

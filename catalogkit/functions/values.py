@@ -7,20 +7,24 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnOrName, col, filled, leading_int
+from .columns import ColumnOrName, col, filled, leading_int, let
 
 
 def parse_duration_ms(value: ColumnOrName) -> Column:
     """Milliseconds of s, m:s or h:m:s; other shapes give 0."""
-    parts = F.filter(F.transform(F.split(col(value), ":"), leading_int), lambda p: p.isNotNull())
-    n = F.size(parts)
-    seconds = (
-        F.when(n == 1, F.get(parts, 0))
-        .when(n == 2, F.get(parts, 0) * 60 + F.get(parts, 1))
-        .when(n == 3, F.get(parts, 0) * 3600 + F.get(parts, 1) * 60 + F.get(parts, 2))
-        .otherwise(0)
-    )
-    return F.coalesce(seconds, F.lit(0)) * 1000
+
+    def seconds(parts: Column) -> Column:
+        n = F.size(parts)
+        total = (
+            F.when(n == 1, F.get(parts, 0))
+            .when(n == 2, F.get(parts, 0) * 60 + F.get(parts, 1))
+            .when(n == 3, F.get(parts, 0) * 3600 + F.get(parts, 1) * 60 + F.get(parts, 2))
+            .otherwise(0)
+        )
+        return F.coalesce(total, F.lit(0)) * 1000
+
+    numbers = F.transform(F.split(col(value), ":"), leading_int)
+    return let(F.filter(numbers, lambda p: p.isNotNull()), seconds)
 
 
 def parse_position(value: ColumnOrName, default: ColumnOrName) -> Column:

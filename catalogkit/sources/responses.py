@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text, values
-from ..functions.columns import ColumnOrName, col, first_filled, leading_int
+from ..functions.columns import ColumnOrName, col, first_filled, leading_int, let
 
 
 
@@ -77,28 +77,30 @@ ACOUSTID_ROWS = (
 
 def parse_acoustid(body: ColumnOrName) -> Column:
     """Recordings of a fingerprint lookup, in order."""
-    doc = F.from_json(col(body), _ACOUSTID)
 
-    def names(rec: Column, field: str, part: str) -> Column:
-        return F.filter(
-            some(F.transform(rec[field], lambda x: _nt(x[part])), "array<string>"), lambda v: v != ""
-        )
+    def build(doc: Column) -> Column:
+        def names(rec: Column, field: str, part: str) -> Column:
+            return F.filter(
+                some(F.transform(rec[field], lambda x: _nt(x[part])), "array<string>"), lambda v: v != ""
+            )
 
-    def recordings(result: Column) -> Column:
-        found = F.transform(
-            result["recordings"],
-            lambda rec: F.struct(
-                _nt(rec["id"]).alias("recording_id"),
-                _nt(rec["title"]).alias("title"),
-                names(rec, "artists", "name").alias("artists"),
-                names(rec, "releasegroups", "id").alias("release_group_ids"),
-                F.coalesce(result["score"], F.lit(0.0)).alias("score"),
-            ),
-        )
-        return some(found, ACOUSTID_ROWS)
+        def recordings(result: Column) -> Column:
+            found = F.transform(
+                result["recordings"],
+                lambda rec: F.struct(
+                    _nt(rec["id"]).alias("recording_id"),
+                    _nt(rec["title"]).alias("title"),
+                    names(rec, "artists", "name").alias("artists"),
+                    names(rec, "releasegroups", "id").alias("release_group_ids"),
+                    F.coalesce(result["score"], F.lit(0.0)).alias("score"),
+                ),
+            )
+            return some(found, ACOUSTID_ROWS)
 
-    rows = F.flatten(F.transform(doc["results"], recordings))
-    return F.when(doc["status"] == "ok", some(rows, ACOUSTID_ROWS)).otherwise(empty_array(ACOUSTID_ROWS))
+        rows = F.flatten(F.transform(doc["results"], recordings))
+        return F.when(doc["status"] == "ok", some(rows, ACOUSTID_ROWS)).otherwise(empty_array(ACOUSTID_ROWS))
+
+    return let(F.from_json(col(body), _ACOUSTID), build)
 
 
 _MB_GROUPS = (
@@ -140,39 +142,41 @@ def parse_musicbrainz_releases(body: ColumnOrName) -> Column:
     Tracks come from the first pseudo-release that has any, else the first
     official release that has any, else the first release.
     """
-    releases = F.from_json(col(body), _MB_RELEASES)["releases"]
-
-    def tracks_of(release: Column) -> Column:
-        def row(t: Column) -> Column:
-            rec = t["recording"]
-            own, recorded = t["artist-credit"], rec["artist-credit"]
-            return _track(
-                F.coalesce(t["position"], F.lit(0)),
-                first_filled(t["title"], rec["title"]),
-                F.when(F.size(own) > 0, F.get(own, 0)["name"]).otherwise(F.get(recorded, 0)["name"]),
-                F.coalesce(F.nullif(t["length"], F.lit(0)), rec["length"]),
-            )
-
-        media = F.filter(F.transform(release["media"], lambda m: m["tracks"]), lambda t: t.isNotNull())
-        rows = F.transform(F.flatten(media), row)
-        return some(F.filter(rows, lambda t: (t["position"] > 0) & (t["title"] != "")), TRACKS_DDL)
 
-    def first_with_tracks(status: str) -> Column:
-        lists = F.transform(F.filter(releases, lambda r: r["status"] == status), tracks_of)
-        return F.get(F.filter(lists, lambda t: F.size(t) > 0), 0)
+    def build(releases: Column) -> Column:
+        def tracks_of(release: Column) -> Column:
+            def row(t: Column) -> Column:
+                rec = t["recording"]
+                own, recorded = t["artist-credit"], rec["artist-credit"]
+                return _track(
+                    F.coalesce(t["position"], F.lit(0)),
+                    first_filled(t["title"], rec["title"]),
+                    F.when(F.size(own) > 0, F.get(own, 0)["name"]).otherwise(F.get(recorded, 0)["name"]),
+                    F.coalesce(F.nullif(t["length"], F.lit(0)), rec["length"]),
+                )
+
+            media = F.filter(F.transform(release["media"], lambda m: m["tracks"]), lambda t: t.isNotNull())
+            rows = F.transform(F.flatten(media), row)
+            return some(F.filter(rows, lambda t: (t["position"] > 0) & (t["title"] != "")), TRACKS_DDL)
+
+        def first_with_tracks(status: str) -> Column:
+            lists = F.transform(F.filter(releases, lambda r: r["status"] == status), tracks_of)
+            return F.get(F.filter(lists, lambda t: F.size(t) > 0), 0)
+
+        dates = F.filter(F.transform(releases, lambda r: r["date"]), lambda d: d != "")
+        return F.struct(
+            _nt(F.array_min(dates)).alias("release_date"),
+            some(
+                F.coalesce(
+                    first_with_tracks("Pseudo-Release"),
+                    first_with_tracks("Official"),
+                    tracks_of(F.get(releases, 0)),
+                ),
+                TRACKS_DDL,
+            ).alias("tracks"),
+        )
 
-    dates = F.filter(F.transform(releases, lambda r: r["date"]), lambda d: d != "")
-    return F.struct(
-        _nt(F.array_min(dates)).alias("release_date"),
-        some(
-            F.coalesce(
-                first_with_tracks("Pseudo-Release"),
-                first_with_tracks("Official"),
-                tracks_of(F.get(releases, 0)),
-            ),
-            TRACKS_DDL,
-        ).alias("tracks"),
-    )
+    return let(F.from_json(col(body), _MB_RELEASES)["releases"], build)
 
 
 _MB_RELEASE = (
@@ -183,30 +187,32 @@ _MB_RELEASE = (
 
 def parse_musicbrainz_release(body: ColumnOrName, group_id: ColumnOrName | None = None) -> Column:
     """STRUCT<release_id, title, release_date, artist, tracks> of one release."""
-    doc = F.from_json(col(body), _MB_RELEASE)
-
-    def credit(names: Column) -> Column:
-        return _nt(F.array_join(F.transform(names, lambda c: F.concat(_nt(c["name"]), _nt(c["joinphrase"]))), ""))
-
-    artist = first_filled(credit(doc["artist-credit"]), F.lit("Unknown Artist"))
-    lists = F.filter(F.transform(doc["media"], lambda m: m["tracks"]), lambda t: t.isNotNull())
-    tracks = F.transform(
-        F.flatten(lists),
-        lambda t, i: _track(
-            F.when(t["position"] > 0, t["position"]).otherwise(i + 1),
-            first_filled(t["title"], t["recording"]["title"]),
-            first_filled(credit(t["artist-credit"]), artist),
-            F.lit(0),
-        ),
-    )
-    known = [col(group_id)] if group_id is not None else []
-    return F.struct(
-        first_filled(*known, doc["release-group"]["id"], doc["id"]).alias("release_id"),
-        _nt(doc["title"]).alias("title"),
-        _nt(doc["date"]).alias("release_date"),
-        artist.alias("artist"),
-        some(tracks, TRACKS_DDL).alias("tracks"),
-    )
+
+    def build(doc: Column) -> Column:
+        def credit(names: Column) -> Column:
+            return _nt(F.array_join(F.transform(names, lambda c: F.concat(_nt(c["name"]), _nt(c["joinphrase"]))), ""))
+
+        artist = first_filled(credit(doc["artist-credit"]), F.lit("Unknown Artist"))
+        lists = F.filter(F.transform(doc["media"], lambda m: m["tracks"]), lambda t: t.isNotNull())
+        tracks = F.transform(
+            F.flatten(lists),
+            lambda t, i: _track(
+                F.when(t["position"] > 0, t["position"]).otherwise(i + 1),
+                first_filled(t["title"], t["recording"]["title"]),
+                first_filled(credit(t["artist-credit"]), artist),
+                F.lit(0),
+            ),
+        )
+        known = [col(group_id)] if group_id is not None else []
+        return F.struct(
+            first_filled(*known, doc["release-group"]["id"], doc["id"]).alias("release_id"),
+            _nt(doc["title"]).alias("title"),
+            _nt(doc["date"]).alias("release_date"),
+            artist.alias("artist"),
+            some(tracks, TRACKS_DDL).alias("tracks"),
+        )
+
+    return let(F.from_json(col(body), _MB_RELEASE), build)
 
 
 def parse_recording_groups(body: ColumnOrName) -> Column:
@@ -227,48 +233,54 @@ _DISCOGS = (
 
 def parse_discogs_release(body: ColumnOrName) -> Column:
     """STRUCT<title, release_date, master_id, artist, cover_url, tracks> of a release or master."""
-    doc = F.from_json(col(body), _DISCOGS)
-    names = F.transform(
-        doc["artists"], lambda a: F.regexp_replace(_nt(a["name"]), r"(?s)^(.*) \([0-9]+\)$", "$1")
-    )
-    artist = _nt(F.array_join(names, ", "))
-    addressed = F.filter(
-        F.transform(
-            doc["images"],
-            lambda i: F.struct(
-                (i["type"] == "primary").alias("primary"), first_filled(i["uri"], i["resource_url"]).alias("uri")
+
+    def build(doc: Column) -> Column:
+        names = F.transform(
+            doc["artists"], lambda a: F.regexp_replace(_nt(a["name"]), r"(?s)^(.*) \([0-9]+\)$", "$1")
+        )
+        credited = _nt(F.array_join(names, ", "))
+        addressed = F.filter(
+            F.transform(
+                doc["images"],
+                lambda i: F.struct(
+                    (i["type"] == "primary").alias("primary"), first_filled(i["uri"], i["resource_url"]).alias("uri")
+                ),
             ),
-        ),
-        lambda i: i["uri"] != "",
-    )
-    cover = F.coalesce(
-        F.get(F.filter(addressed, lambda i: i["primary"]), 0)["uri"], F.get(addressed, 0)["uri"], F.lit("")
-    )
-    counted = F.filter(doc["tracklist"], lambda t: F.coalesce(t["type_"], F.lit("")).isin("", "track"))
+            lambda i: i["uri"] != "",
+        )
+        cover = F.coalesce(
+            F.get(F.filter(addressed, lambda i: i["primary"]), 0)["uri"], F.get(addressed, 0)["uri"], F.lit("")
+        )
+        counted = F.filter(doc["tracklist"], lambda t: F.coalesce(t["type_"], F.lit("")).isin("", "track"))
 
-    def row(t: Column, i: Column) -> Column:
-        guest = F.regexp_replace(_nt(F.get(t["artists"], 0)["name"]), r"(?s)^(.*) \((?:(?! \().)+\)$", "$1")
-        return _track(
-            values.parse_position(_nt(t["position"]), i + 1),
-            t["title"],
-            first_filled(guest, artist),
-            values.parse_duration_ms(_nt(t["duration"])),
+        def row(t: Column, i: Column, artist: Column) -> Column:
+            guest = F.regexp_replace(_nt(F.get(t["artists"], 0)["name"]), r"(?s)^(.*) \((?:(?! \().)+\)$", "$1")
+            return _track(
+                values.parse_position(_nt(t["position"]), i + 1),
+                t["title"],
+                first_filled(guest, artist),
+                values.parse_duration_ms(_nt(t["duration"])),
+            )
+
+        def tracks(artist: Column) -> Column:
+            rows = F.transform(counted, lambda t, i: row(t, i, artist))
+            return some(F.filter(rows, lambda t: t["title"] != ""), TRACKS_DDL)
+
+        year = doc["year"].try_cast("int")
+        return F.struct(
+            _nt(doc["title"]).alias("title"),
+            first_filled(
+                doc["released"],
+                doc["released_formatted"],
+                F.when(year.isNull(), doc["year"]).when(year > 0, doc["year"]),
+            ).alias("release_date"),
+            F.coalesce(doc["master_id"], F.lit(0)).alias("master_id"),
+            credited.alias("artist"),
+            cover.alias("cover_url"),
+            let(credited, tracks).alias("tracks"),
         )
 
-    tracks = F.filter(F.transform(counted, row), lambda t: t["title"] != "")
-    year = doc["year"].try_cast("int")
-    return F.struct(
-        _nt(doc["title"]).alias("title"),
-        first_filled(
-            doc["released"],
-            doc["released_formatted"],
-            F.when(year.isNull(), doc["year"]).when(year > 0, doc["year"]),
-        ).alias("release_date"),
-        F.coalesce(doc["master_id"], F.lit(0)).alias("master_id"),
-        artist.alias("artist"),
-        cover.alias("cover_url"),
-        some(tracks, TRACKS_DDL).alias("tracks"),
-    )
+    return let(F.from_json(col(body), _DISCOGS), build)
 
 
 def with_master_year(releases: DataFrame, masters: DataFrame) -> DataFrame:
@@ -329,15 +341,33 @@ def _vdb_lyrics(entries: Column) -> Column:
     return _lyrics(first("Original"), first("Romanized"), english)
 
 
-def parse_vdb_album(body: ColumnOrName) -> Column:
-    """STRUCT of a VocaDB-style album: names, artist, date, cover and tracks."""
-    doc = F.from_json(col(body), _VDB_ALBUM)
-    raw_name = first_filled(doc["name"], doc["defaultName"])
-    romaji = first_filled(_named(doc["names"], "Romaji"), raw_name)
-    english = _named(doc["names"], "English")
-    japanese = first_filled(_named(doc["names"], "Japanese"), doc["defaultName"])
+def _three_names(names: Column) -> Column:
+    return F.struct(
+        _named(names, "Romaji").alias("romaji"),
+        _named(names, "English").alias("english"),
+        _named(names, "Japanese").alias("japanese"),
+    )
+
+
+def _vdb_names(doc: Column) -> Column:
+    """STRUCT<raw, title, title_i18n> of an album."""
+
+    def build(raw: Column) -> Column:
+        def whole(n: Column) -> Column:
+            romaji, japanese = first_filled(n["romaji"], raw), first_filled(n["japanese"], doc["defaultName"])
+            return F.struct(
+                first_filled(romaji, n["english"], japanese, raw).alias("title"),
+                _i18n(romaji, n["english"], japanese).alias("title_i18n"),
+            )
+
+        return let(_three_names(doc["names"]), whole)
+
+    return let(first_filled(doc["name"], doc["defaultName"]), build)
 
-    artists = F.transform(
+
+def _vdb_artist(doc: Column) -> Column:
+    """STRUCT<artist, artist_i18n>: a circle, else the credit unless it says various, else a producer."""
+    rows = F.transform(
         doc["artists"],
         lambda a: F.struct(
             first_filled(a["name"], a["artist"]["name"]).alias("name"),
@@ -355,46 +385,69 @@ def parse_vdb_album(body: ColumnOrName) -> Column:
     all_names = F.flatten(
         F.filter(F.transform(doc["artists"], lambda a: a["artist"]["names"]), lambda n: n.isNotNull())
     )
-    circle = F.get(F.filter(artists, lambda a: a["circle"] & (a["name"] != "")), 0)["name"]
-    producer = F.get(F.filter(artists, lambda a: ~a["circle"] & a["producer"] & (a["name"] != "")), 0)["name"]
     credited = _nt(doc["artistString"])
     various = credited.isin("Various artists", "Various Artists", "V.A.")
-    raw_artist = first_filled(circle, F.when(~various, credited), producer, credited)
-    artist_romaji = first_filled(_named(all_names, "Romaji"), raw_artist)
-    artist_english, artist_japanese = _named(all_names, "English"), _named(all_names, "Japanese")
-    artist = first_filled(artist_romaji, artist_english, artist_japanese, raw_artist)
-    artist_i18n = _i18n(artist_romaji, artist_english, artist_japanese)
-
-    def row(t: Column, i: Column) -> Column:
-        song = t["song"]
-        plain = first_filled(t["name"], song["name"])
-        t_romaji = first_filled(_named(song["names"], "Romaji"), plain)
-        t_english = _named(song["names"], "English")
-        t_japanese = first_filled(_named(song["names"], "Japanese"), song["defaultName"])
+
+    def raw(artists: Column) -> Column:
+        circle = F.get(F.filter(artists, lambda a: a["circle"] & (a["name"] != "")), 0)["name"]
+        producer = F.get(F.filter(artists, lambda a: ~a["circle"] & a["producer"] & (a["name"] != "")), 0)["name"]
+        return first_filled(circle, F.when(~various, credited), producer, credited)
+
+    def whole(v: Column) -> Column:
+        n = v["names"]
+        romaji = first_filled(n["romaji"], v["raw"])
+        return F.struct(
+            first_filled(romaji, n["english"], n["japanese"], v["raw"]).alias("artist"),
+            _i18n(romaji, n["english"], n["japanese"]).alias("artist_i18n"),
+        )
+
+    return let(F.struct(let(rows, raw).alias("raw"), _three_names(all_names).alias("names")), whole)
+
+
+def _vdb_track(t: Column, i: Column, artist: Column) -> Column:
+    song = t["song"]
+
+    def whole(v: Column) -> Column:
+        n = v["names"]
+        romaji, japanese = first_filled(n["romaji"], v["plain"]), first_filled(n["japanese"], song["defaultName"])
         return _track(
             F.when(t["trackNumber"] > 0, t["trackNumber"]).otherwise(i + 1),
-            first_filled(t_romaji, t_english, t_japanese, plain),
-            first_filled(song["artistString"], artist),
+            first_filled(romaji, n["english"], japanese, v["plain"]),
+            first_filled(song["artistString"], artist["artist"]),
             F.coalesce(song["lengthSeconds"], F.lit(0)) * 1000,
-            title_i18n=_i18n(t_romaji, t_english, t_japanese),
-            artist_i18n=artist_i18n,
+            title_i18n=_i18n(romaji, n["english"], japanese),
+            artist_i18n=artist["artist_i18n"],
             lyrics=_vdb_lyrics(song["lyrics"]),
         )
 
-    tracks = F.filter(F.transform(doc["tracks"], row), lambda t: t["title"] != "")
-    date, picture = doc["releaseDate"], doc["mainPicture"]
-    return F.struct(
-        first_filled(romaji, english, japanese, raw_name).alias("title"),
-        _i18n(romaji, english, japanese).alias("title_i18n"),
-        artist.alias("artist"),
-        artist_i18n.alias("artist_i18n"),
-        _nt(doc["catalogNumber"]).alias("catalog_no"),
-        F.when(F.coalesce(date["isEmpty"], F.lit(False)), "")
-        .otherwise(values.format_release_date(date["year"], date["month"], date["day"]))
-        .alias("release_date"),
-        first_filled(picture["urlOriginal"], picture["urlThumb"], picture["urlSmallThumb"]).alias("cover_url"),
-        some(tracks, TRACKS_DDL).alias("tracks"),
-    )
+    plain = first_filled(t["name"], song["name"])
+    return let(F.struct(plain.alias("plain"), _three_names(song["names"]).alias("names")), whole)
+
+
+def parse_vdb_album(body: ColumnOrName) -> Column:
+    """STRUCT of a VocaDB-style album: names, artist, date, cover and tracks."""
+
+    def build(doc: Column) -> Column:
+        date, picture = doc["releaseDate"], doc["mainPicture"]
+
+        def whole(v: Column) -> Column:
+            rows = F.transform(doc["tracks"], lambda t, i: _vdb_track(t, i, v["by"]))
+            return F.struct(
+                v["named"]["title"].alias("title"),
+                v["named"]["title_i18n"].alias("title_i18n"),
+                v["by"]["artist"].alias("artist"),
+                v["by"]["artist_i18n"].alias("artist_i18n"),
+                _nt(doc["catalogNumber"]).alias("catalog_no"),
+                F.when(F.coalesce(date["isEmpty"], F.lit(False)), "")
+                .otherwise(values.format_release_date(date["year"], date["month"], date["day"]))
+                .alias("release_date"),
+                first_filled(picture["urlOriginal"], picture["urlThumb"], picture["urlSmallThumb"]).alias("cover_url"),
+                some(F.filter(rows, lambda t: t["title"] != ""), TRACKS_DDL).alias("tracks"),
+            )
+
+        return let(F.struct(_vdb_names(doc).alias("named"), _vdb_artist(doc).alias("by")), whole)
+
+    return let(F.from_json(col(body), _VDB_ALBUM), build)
 
 
 def parse_vdb_song_lyrics(body: ColumnOrName) -> Column:
@@ -494,8 +547,8 @@ def _property(pairs: Column, key: str) -> Column:
         lambda p: (F.try_variant_get(p, "$[0]", "string") == key)
         & F.try_variant_get(p, "$[1]", "variant").isNotNull(),
     )
-    last = F.get(hits, F.size(hits) - 1)
-    return _nt(_property_text(F.try_variant_get(last, "$[1]", "variant")))
+    last = F.get(F.reverse(hits), 0)
+    return _nt(let(F.try_variant_get(last, "$[1]", "variant"), _property_text))
 
 
 THWIKI_ROWS = "array<struct<id: int, title: string, artist: string>>"
@@ -516,45 +569,55 @@ def parse_thwiki_search(body: ColumnOrName) -> Column:
 
 def parse_thwiki_album(body: ColumnOrName) -> Column:
     """STRUCT<title, artist, release_date, event, cover_url, tracks> of a wiki album."""
-    doc = F.try_parse_json(col(body))
-    whole = F.size(_variants(doc)) >= 2
-    album = F.when(whole, F.try_variant_get(doc, "$[0]", "array<variant>"))
-    listed = F.when(whole, F.try_variant_get(doc, "$[1]", "array<variant>"))
-    circle = _property(album, "circle")
-
-    def row(entry: Column, i: Column) -> Column:
-        pairs = _variants(entry)
-        title = _property(pairs, "name")
-        artist = first_filled(
-            _property(pairs, "artist"), _property(pairs, "vocal"), _property(pairs, "arrange"), circle
-        )
+
+    def facts(album: Column) -> Column:
+        names = {"title": "alname", "artist": "circle", "release_date": "date", "event": "event", "cover_url": "coverurl"}
+        return F.struct(*[_property(album, key).alias(name) for name, key in names.items()])
+
+    def track_facts(pairs: Column) -> Column:
+        keys = ("name", "trackno", "artist", "vocal", "arrange", "time", "lrc")
+        return F.struct(*[_property(pairs, key).alias(key) for key in keys])
+
+    def row(t: Column, i: Column, circle: Column) -> Column:
+        artist = first_filled(t["artist"], t["vocal"], t["arrange"], circle)
         return _track(
-            F.coalesce(leading_int(_property(pairs, "trackno")), i + 1),
-            title,
+            F.coalesce(leading_int(t["trackno"]), i + 1),
+            t["name"],
             artist,
-            F.coalesce(leading_int(_property(pairs, "time")), F.lit(0)) * 1000,
-            title_i18n=_i18n(_nothing(), _nothing(), title),
+            F.coalesce(leading_int(t["time"]), F.lit(0)) * 1000,
+            title_i18n=_i18n(_nothing(), _nothing(), t["name"]),
             artist_i18n=_i18n(_nothing(), _nothing(), artist),
-            lyrics=_lyrics(_property(pairs, "lrc"), _nothing(), _nothing()),
+            lyrics=_lyrics(t["lrc"], _nothing(), _nothing()),
         )
 
-    tracks = F.filter(F.transform(listed, row), lambda t: t["title"] != "")
-    return F.struct(
-        _property(album, "alname").alias("title"),
-        circle.alias("artist"),
-        _property(album, "date").alias("release_date"),
-        _property(album, "event").alias("event"),
-        _property(album, "coverurl").alias("cover_url"),
-        some(tracks, TRACKS_DDL).alias("tracks"),
-    )
+    def build(doc: Column) -> Column:
+        whole = F.size(_variants(doc)) >= 2
+        album = F.when(whole, F.try_variant_get(doc, "$[0]", "array<variant>"))
+        listed = F.when(whole, F.try_variant_get(doc, "$[1]", "array<variant>"))
+        named = F.transform(listed, lambda entry: let(_variants(entry), track_facts))
+
+        def release(head: Column) -> Column:
+            tracks = F.transform(named, lambda t, i: row(t, i, head["artist"]))
+            kept = F.filter(tracks, lambda t: t["title"] != "")
+            return F.struct(
+                *[head[n].alias(n) for n in ("title", "artist", "release_date", "event", "cover_url")],
+                some(kept, TRACKS_DDL).alias("tracks"),
+            )
+
+        return let(let(album, facts), release)
+
+    return let(F.try_parse_json(col(body)), build)
 
 
 def parse_lrclib(body: ColumnOrName) -> Column:
     """Synced lyrics, else plain ones, else empty."""
-    doc = F.from_json(col(body), "syncedLyrics STRING, plainLyrics STRING")
-    return first_filled(
-        F.nullif(doc["syncedLyrics"], F.lit("null")), F.nullif(doc["plainLyrics"], F.lit("null"))
-    )
+
+    def build(doc: Column) -> Column:
+        return first_filled(
+            F.nullif(doc["syncedLyrics"], F.lit("null")), F.nullif(doc["plainLyrics"], F.lit("null"))
+        )
+
+    return let(F.from_json(col(body), "syncedLyrics STRING, plainLyrics STRING"), build)
 
 
 _QQ_SEARCH = (

@@ -447,12 +447,14 @@ def parse_lyrics_replies(spark, sf_dir):
     song = F.struct(
         F.array(
             F.struct(
-                F.when(even, "Original").otherwise("Romanized").alias("translationType"),
+                F.when(even, F.lit("Original")).otherwise("Romanized").alias("translationType"),
                 F.when(even, F.col("text")).otherwise(F.col("lang")).alias("value"),
             )
         ).alias("lyrics")
     )
-    found = F.to_json(F.struct(F.array(F.struct(F.array().cast("array<struct<value:string>>").alias("lyrics")), song).alias("items")))
+    found = F.to_json(F.struct(F.array_append(
+                F.array(F.struct(F.array().cast("array<struct<translationType:string,value:string>>").alias("lyrics"))), song
+            ).alias("items")))
     lyric = responses.parse_vdb_lyrics_search(found)
     return docs.select(
         "doc_id",
