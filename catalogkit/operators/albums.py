@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import text
 from ..functions.columns import ColumnOrName, col, first_filled
 from ..functions.extract import UNKNOWN_ARTIST
+from ..session import once
 
 # Folder names that say nothing about an album.
 EMPTY_ALBUM_KEYS = ("", "unknown", "tosort", "music", "media")
@@ -22,7 +23,7 @@ def album_key(album: ColumnOrName, folder: ColumnOrName) -> Column:
 
 def with_album_key(items: DataFrame) -> DataFrame:
     """Items with their album key."""
-    return items.withColumn("album_key", album_key("album", "folder"))
+    return once(items, {"album_key": album_key("album", "folder")})
 
 
 def cluster_albums(items: DataFrame) -> DataFrame:
@@ -177,20 +178,38 @@ def approval_selection(items: DataFrame, summary: DataFrame) -> DataFrame:
     return album_selection(items, items.join(leads, "seq", "left_semi"))
 
 
-def apply_to_album(items: DataFrame, edits: DataFrame, members: DataFrame) -> DataFrame:
-    """Copy a chosen row's artist, album or year to its album.
+def apply_to_album(items: DataFrame, edits: DataFrame) -> DataFrame:
+    """Copy a chosen row's artist, album or year to its album's items to review.
 
-    ``edits`` has ref_seq and the values to set, NULL for no change;
-    ``members`` comes from ``album_members``. The last reference wins.
+    ``edits`` has ref_seq and the values to set, NULL for no change; the last
+    reference wins. Membership follows ``album_members``, but edits are settled
+    per folder, release and album first, so each item meets at most three of them.
     """
     fields = [c for c in ("artist", "album", "year") if c in edits.columns]
-    changes = (
-        members.join(edits, "ref_seq")
-        .groupBy("seq")
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ref_seq"))).alias(f"_{c}") for c in fields])
+
+    def last(name: str, value: Column, ref: Column) -> Column:
+        return F.max(F.when(value.isNotNull(), F.struct(ref.alias("ref"), value.alias("value")))).alias(name)
+
+    chosen = edits.select(F.col("ref_seq").alias("seq"), *[F.col(c).alias(f"_{c}") for c in fields])
+    keys = _membership_keys(items.join(chosen.select("seq"), "seq", "left_semi"))
+    settled = (
+        keys.join(chosen, "seq")
+        .groupBy("kind", "value")
+        .agg(*[last(f"_{c}", F.col(f"_{c}"), F.col("seq")) for c in fields])
+    )
+    reached = _membership_keys(unprocessed(items)).join(settled, ["kind", "value"]).select(
+        "seq", *[f"_{c}" for c in fields]
+    )
+    own = unprocessed(items).select("seq").join(chosen, "seq").select(
+        "seq",
+        *[
+            F.when(F.col(f"_{c}").isNotNull(), F.struct(F.col("seq").alias("ref"), F.col(f"_{c}").alias("value"))).alias(f"_{c}")
+            for c in fields
+        ],
     )
+    changes = reached.unionByName(own).groupBy("seq").agg(*[F.max(f"_{c}").alias(f"_{c}") for c in fields])
     return items.join(changes, "seq", "left").select(
-        *[F.coalesce(f"_{c}", c).alias(c) if c in fields else c for c in items.columns]
+        *[F.coalesce(F.col(f"_{c}.value"), F.col(c)).alias(c) if c in fields else F.col(c) for c in items.columns]
     )
 
 

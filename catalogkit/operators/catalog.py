@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import extract, text
 from ..functions.columns import ColumnOrName, col
+from ..session import once
 
 KEY = ["artist", "album", "title"]
 COLUMNS = schemas.TRACKS.fieldNames()
@@ -88,7 +89,7 @@ def sync_catalog(inventory: DataFrame) -> DataFrame:
     """
     audio = inventory.filter(F.col("ext").isin(".flac", ".mp3"))
     tags = extract.parse_catalog_path("rel_path")
-    rows = audio.select(tags.alias("t"), "rel_path").select(
+    rows = once(audio.select("rel_path"), {"t": tags}).select(
         "t.*",
         F.lit("").alias("year"),
         F.lit(0).alias("duration_sec"),

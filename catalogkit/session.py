@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "catalogkit", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,6 +41,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns whose expressions run once per row.
+
+    Filters, joins and groupings on a projected column are pushed below it and
+    compute it again each time. They cannot pass a generator, so the columns come
+    out of one that yields a single row.
+    """
+    made = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(made)).alias("_once")).select(
+        *kept, *[F.col(f"_once.{name}").alias(name) for name in columns]
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores when the input has too few splits to keep them busy.
 

@@ -102,7 +102,7 @@ def apply_to_album(spark, sf_dir):
     leads = albums.unprocessed(items).groupBy("folder").agg(F.min("seq").alias("seq")).select("seq")
     refs = items.join(leads, "seq", "left_semi")
     edits = refs.select(F.col("seq").alias("ref_seq"), F.concat(F.lit("Set "), "title").alias("artist"))
-    changed = albums.apply_to_album(items, edits, albums.album_members(items, refs))
+    changed = albums.apply_to_album(items, edits)
     return changed.select("seq", "artist", "album")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.session import spread
+from catalogkit.session import once, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,13 +198,14 @@ def recordings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
     ext = F.when(F.col("doc_id") % 3 == 0, ".mp3").otherwise(".flac")
     mark = F.when(F.col("doc_id") % 7 == 0, " (1)").otherwise("")
-    return docs.select(
+    placed = docs.select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("/data/inbox/"), "source", F.lit("/"), F.col("doc_id").cast("string"), mark, ext).alias("path"),
         ext.alias("ext"),
         (F.col("n_chars") / F.lit(10.0)).alias("duration"),
-        F.transform(words, frame).alias("frames"),
+        words.alias("words"),
     )
+    return once(placed, {"frames": F.transform("words", frame)}).drop("words")
 
 
 FILES_SQL = r"""
