@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import ColumnOrName, col, filled, leading_int, let
 
@@ -100,7 +101,7 @@ def _laplacian_variance(data: bytes, height: int, width: int, channels: int) ->
     return float(np.var(edge[::2, ::2]))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sharpness(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
     rows = zip(data, height, width, channels)
     return pd.Series([_laplacian_variance(*row) for row in rows], dtype="float64")

@@ -11,7 +11,7 @@ from ..functions.columns import ColumnOrName, col
 from ..session import once
 
 KEY = ["artist", "album", "title"]
-COLUMNS = schemas.TRACKS.fieldNames()
+COLUMNS = list(schemas.TRACK_COLUMNS)
 CATALOG_ORDER = ["artist", "album", "track_no", "title"]
 STATUS_FILTERS = {1: 1, 2: 0}
 FORMAT_FILTERS = {1: "FLAC", 2: "MP3"}

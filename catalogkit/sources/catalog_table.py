@@ -26,12 +26,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def _stored_columns(rows: DataFrame) -> list[Column]:
     """All stored columns but the id, with defaults for what the rows lack."""
     columns = []
-    for field in schemas.TRACKS.fields:
-        if field.name == "id":
+    for name, kind in schemas.TRACK_COLUMNS.items():
+        if name == "id":
             continue
-        default = TEXT_DEFAULT if field.dataType.typeName() == "string" else NUMBER_DEFAULT
-        value = F.col(field.name) if field.name in rows.columns else F.lit(None)
-        columns.append(F.coalesce(value.cast(field.dataType), F.lit(default).cast(field.dataType)).alias(field.name))
+        default = TEXT_DEFAULT if kind == "STRING" else NUMBER_DEFAULT
+        value = F.col(name) if name in rows.columns else F.lit(None)
+        columns.append(F.coalesce(value.cast(kind.lower()), F.lit(default).cast(kind.lower())).alias(name))
     return columns
 
 

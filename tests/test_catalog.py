@@ -116,7 +116,7 @@ def test_scan(spark, tmp_path):
     assert sorted(r.rel_path for r in audio.collect()) == ["A/B/1. x.FLAC", "A/B/2. y.mp3"]
     covers = {r.filename: r.cover_path for r in inventory.local_covers(audio, files).collect()}
     assert set(covers.values()) == {str(album / "a.JPG")}
-    assert "content" not in files._jdf.queryExecution().optimizedPlan().toString()
+    assert "content:binary" not in files._jdf.queryExecution().executedPlan().toString()
 
 
 def test_run_log(spark, tmp_path):
