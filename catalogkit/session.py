@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +26,20 @@ def get_session(app: str = "catalogkit", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the cluster.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one
-    (a local test) gets a folder of its own.
+    It lies in ``spark.checkpoint.dir``, or below the warehouse where that is not set.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return f"{base.rstrip('/')}/{name}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder of the cluster."""
     context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
