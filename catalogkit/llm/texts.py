@@ -159,3 +159,22 @@ def shingle_starts(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word of every run of ``size`` words within a text, and how many each text has."""
     counts = np.maximum(np.diff(words.first) - size + 1, 0)
     return spread_out(words.first[:-1], counts), counts
+
+
+def carry(docs, answer, made: str, column: str = "text"):
+    """Rows of ``docs`` with the columns that ``answer(text array)`` returns, in slices of bounded size.
+
+    ``made`` is the DDL list of those columns; columns of ``docs`` with such a name are
+    replaced, all others are carried along unread.
+    """
+    from pyspark.sql import types as T
+
+    fresh = T.StructType.fromDDL(made)
+    given = docs.select(*[c for c in docs.columns if c not in fresh.names])
+    names = given.columns
+
+    def run(batches):
+        for batch in slices(batches, column):
+            yield pa.record_batch([*batch.columns, *answer(batch.column(column))], [*names, *fresh.names])
+
+    return given.mapInArrow(run, T.StructType([*given.schema, *fresh]))
