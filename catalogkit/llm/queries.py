@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, ranking, simhash, substrings, token_counts
+from . import decontaminate, language_id, packing, ranking, simhash, substrings, token_counts
 
 QUERIES = {}
 SQL = {}
@@ -24,6 +25,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    test = ranking.held_out(language_id.FOLDS, 0)
+    learned = docs.filter(~test & F.col("doc_id").isNotNull())
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(learned))
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
