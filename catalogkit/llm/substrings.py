@@ -31,19 +31,26 @@ MINIMISER = 2
 #: A longer run of windows (a word repeated over and over) is cut; its parts share the bucket.
 MOST_WINDOWS = 64
 BUCKETS_PER_PARTITION = 2
+#: Compression of what moves.
+LEVEL = 6
 _LAST = np.iinfo(np.int64).max
 _MOVED = "block long, key long, n int, raw long, body binary"
 
 
 def _pack(*parts: np.ndarray | bytes) -> tuple[int, bytes]:
     whole = b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
-    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
+    return len(whole), pa.Codec("zstd", compression_level=LEVEL).compress(whole, asbytes=True)
 
 
 def _unpack(raw: int, body: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(body, raw, codec="zstd", asbytes=True), np.uint8)
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, which take less room when values rise slowly; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
 def _lowest(values: np.ndarray, size: int) -> np.ndarray:
     """Minimum of every ``size`` neighbours."""
     step = 1
@@ -100,7 +107,7 @@ def _split(batches, window: int, buckets: int):
         sizes = windows + window - 1
         chosen, which = _distinct_runs(numbers, hashes, first, sizes)
         bucket = (low[chosen] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((first[chosen], bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         chosen, bucket, which = chosen[order], bucket[order], place[which]
@@ -120,12 +127,12 @@ def _split(batches, window: int, buckets: int):
 
         for a, b in zip(cuts, [*cuts[1:], len(chosen)]):
             packed = b"".join([data[x:y] for x, y in zip(begin[a:b], end[a:b])])
-            size, body = _pack(np.int64(a).tobytes(), lowest[a:b], highest[a:b], count[a:b], packed)
+            size, body = _pack(np.int64(a).tobytes(), _steps(lowest[a:b]), _steps(highest[a:b]), count[a:b], packed)
             add(block, int(bucket[a]), b - a, size, body)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
-        size, body = _pack(first.astype(np.int64), which.astype(np.int64), sink.getvalue().to_pybytes())
+        size, body = _pack(_steps(first.astype(np.int64)), which.astype(np.int64), sink.getvalue().to_pybytes())
         add(block, -1 - block, len(first), size, body)
         yield pa.RecordBatch.from_pydict(
             rows, pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("raw", pa.int64()), ("body", pa.binary())])
@@ -138,7 +145,8 @@ def _answer(rows: list[tuple], window: int):
     for block, n, raw, body in rows:
         data = _unpack(raw, body)
         base, rest = int(data[:8].view(np.int64)[0]), data[8:]
-        parts.append((block, base, n, rest[: 8 * n].view(np.int64), rest[8 * n : 16 * n].view(np.int64), rest[16 * n : 17 * n], rest[17 * n :]))
+        low, high = (np.cumsum(rest[a * n : (a + 8) * n].view(np.int64)) for a in (0, 8))
+        parts.append((block, base, n, low, high, rest[16 * n : 17 * n], rest[17 * n :]))
     del rows
     low, high, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
     data = np.concatenate([p[6] for p in parts])
@@ -209,7 +217,7 @@ def _finish(table: pa.Table, names: list[str], window: int, kept_text: bool) ->
     for row in table.select(["key", "n", "raw", "body"]).to_pylist():
         data, n = _unpack(row["raw"], row["body"]), row["n"]
         if row["key"] < 0:
-            whole = (data[: 8 * n].view(np.int64), data[8 * n : 16 * n].view(np.int64), data[16 * n :])
+            whole = (np.cumsum(data[: 8 * n].view(np.int64)), data[8 * n : 16 * n].view(np.int64), data[16 * n :])
         else:
             told.append(data.view(np.int64).reshape(3, n))
     first, which, stored = whole
