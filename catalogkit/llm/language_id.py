@@ -88,15 +88,14 @@ class Languages:
         tables, self.root = [], []
         for name in self.names:
             moves, base = suffix_automaton(samples[name]), sum(map(len, tables))
-            table = np.full((len(moves), self.width), -1, np.int32)
+            table = np.full((len(moves) + 1, self.width), -1, np.int32)
             for state, own in enumerate(moves):
                 for symbol, to in own.items():
                     table[state, self.symbol[symbol]] = base + to
+            # A symbol that the sample lacks is a phrase of its own: the last state leads nowhere.
+            table[0][table[0] < 0] = base + len(moves)
             self.root.append(base)
             tables.append(table)
-        # From a root, a symbol that the sample lacks is a phrase of its own and leads back.
-        for base, table in zip(self.root, tables):
-            table[0][table[0] < 0] = base
         self.moves = np.concatenate(tables).ravel() * self.width if tables else np.zeros(0, np.int32)
         self.moves[self.moves < 0] = -1
 
