@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .token_counts import VOCABULARY, PieceEncoder, safe_pieces, vocabulary_path
+from .token_counts import SLICE_BYTES, VOCABULARY, PieceEncoder, safe_pieces, vocabulary_path
 
 CAPACITY = 1024
 CLOSING_ID = 0
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     def run(batches):
         encoder = PieceEncoder(vocabulary_path(vocabulary), CLOSING_ID)
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
-        for batch in texts.slices(batches, "text"):
+        for batch in texts.slices(batches, "text", SLICE_BYTES):
             data, places = texts.raw(batch.column("text"))
             starts, pieces = safe_pieces(data, places)
             numbers = encoder.numbers(data, starts) if len(starts) else starts

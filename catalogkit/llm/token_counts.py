@@ -13,9 +13,10 @@ from . import texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-BATCH_BYTES = 64 << 10
+BATCH_BYTES = 16 << 10
+SLICE_BYTES = 4 << 20
 #: Pieces an encoder remembers before it starts anew.
-MOST_PIECES = 1 << 19
+MOST_PIECES = 3 << 18
 
 
 def safe_pieces(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,15 +27,20 @@ def safe_pieces(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nd
     bytes that may end another kind of white space, and after control bytes, it is not cut.
     """
     at = np.flatnonzero(data == 32)
-    at = at[at > 0]
-    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    white = (one <= 32) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
-    white |= ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
-    begun = places[:-1][np.diff(places) > 0]
-    starts = np.union1d(at[~white], begun)
+    cut = np.zeros(len(data), bool)
+    cut[at[~maybe_white(data, at)]] = True
+    cut[places[:-1][np.diff(places) > 0]] = True
+    starts = np.flatnonzero(cut)
     return starts, np.diff(np.searchsorted(starts, places))
 
 
+def maybe_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place may be white space or a control."""
+    one, two, three = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+    white = (ends < 1) | (one <= 32) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    return white | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
+
+
 class PieceEncoder:
     """Ids of pieces of text; a distinct piece is encoded once and remembered."""
 
@@ -43,6 +49,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.closing = Tokenizer.from_file(path), closing
+        # A byte-level token has one character per byte; added tokens stand for themselves.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = added.get(i, len(token))
         self.forget()
 
     def forget(self) -> None:
@@ -50,24 +62,32 @@ class PieceEncoder:
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         if self.closing is not None:
-            self._keep([b""], [[self.closing]])
+            self._keep([b""], np.ones(1, np.int64), np.array([self.closing]))
 
-    def _keep(self, pieces: list[bytes], ids: list[list[int]]) -> None:
+    def _keep(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        sizes = np.array([len(x) for x in ids], np.int64)
         self.begin = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
-        self.ids = np.append(self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
-
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        out, cut, held = [], 0, 0
-        for i, piece in enumerate(pieces, 1):
-            held += len(piece)
-            if held >= BATCH_BYTES or i == len(pieces):
-                batch = [x.decode() for x in pieces[cut:i]]
-                out += [x.ids for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-                cut, held = i, 0
-        return out
+        self.ids = np.append(self.ids, ids.astype(np.uint32))
+
+    def _encode(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per piece of ``data``, and all ids; a batch has texts of about equal bytes.
+
+        Pieces from a blank to a solid character may stand behind one another in
+        a text of the batch, and the bytes of the ids tell them apart. Others are texts of their own.
+        """
+        raw = np.frombuffer(data, np.uint8)
+        begins = np.append(0, ends[:-1])
+        plain = (raw[begins] == 32) & ~maybe_white(raw, ends)
+        group = begins // BATCH_BYTES
+        new = np.append(True, ~plain[1:] | ~plain[:-1] | (group[1:] != group[:-1]))
+        cuts = begins[new].tolist()
+        batch = [data[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(data)])]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, np.int64) for x in found])
+        if self.bytes[ids].sum() != len(data):
+            raise ValueError("the tokenizer does not keep every byte of its texts")
+        return np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), np.append(0, ends), "right")), ids
 
     def numbers(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Number of each piece; ``sizes``, ``begin`` and ``ids`` go by it."""
@@ -80,7 +100,7 @@ class PieceEncoder:
         distinct = pieces.dictionary.to_pylist()
         new = [x for x in distinct if x not in self.known]
         if new:
-            self._keep(new, self._encode(new))
+            self._keep(new, *self._encode(b"".join(new), np.cumsum([len(x) for x in new])))
         own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         return own[pieces.indices.to_numpy(zero_copy_only=False)]
 
@@ -101,7 +121,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
     def run(batches):
         encoder = PieceEncoder(vocabulary_path(vocabulary))
-        for batch in texts.slices(batches, "text"):
+        for batch in texts.slices(batches, "text", SLICE_BYTES):
             data, places = texts.raw(batch.column("text"))
             starts, pieces = safe_pieces(data, places)
             numbers = encoder.numbers(data, starts) if len(starts) else starts
