@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, maxent_lm, packing, ranking, simhash, substrings, token_counts
+from . import decontaminate, language_id, maxent_lm, packing, ranking, simhash, substrings, token_counts, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -50,6 +50,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    test = ranking.held_out(toxicity.FOLDS, toxicity.TEST_FOLD)
+    model = toxicity.train(docs.filter(~test), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
