@@ -129,7 +129,7 @@ def release_web_url(release_id: ColumnOrName) -> Column:
     url = None
     for prefix, page in WEB_PAGES.items():
         hit = F.startswith(rid, F.lit(prefix))
-        target = F.concat(F.lit(page), F.substring(rid, len(prefix) + 1, 1 << 20))
+        target = F.concat(F.lit(page), F.substr(rid, F.lit(len(prefix) + 1)))
         url = F.when(hit, target) if url is None else url.when(hit, target)
     return url.otherwise(F.concat(F.lit(DEFAULT_PAGE), rid))
 

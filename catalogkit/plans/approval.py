@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..functions.columns import ColumnOrName, col
+from ..functions.columns import ColumnOrName, col, first_filled
+from ..operators.lyrics import batch_lookup
 from ..sources.inventory import AUDIO_EXTENSIONS
 from .files import COVER_FILE, ancestor_folders, join_path, union_plans
 
@@ -53,6 +54,7 @@ def plan_approval(
         step("tag", src, src, "vorbis"),
         step("move", src, flac_file, "approved_flac"),
         step("convert", flac_file, mp3_file, "mp3_mirror"),
+        step("tag", mp3_file, mp3_file, "id3"),
     )
     mp3_steps = F.array(
         step("tag", src, src, "id3"),
@@ -77,6 +79,15 @@ def plan_approval(
     return union_plans(steps, cover_rows)
 
 
+def fill_lyrics(items: DataFrame, replies: DataFrame) -> DataFrame:
+    """Items whose empty ``lyrics_text`` is filled from captured LRCLIB replies before tags are written."""
+    asked = items.filter(F.coalesce("lyrics_text", F.lit("")) == "").select("artist", "title", "album").distinct()
+    found = batch_lookup(asked, replies).filter("lyrics != ''")
+    return items.join(found, ["artist", "title", "album"], "left").select(
+        *[first_filled("lyrics_text", "lyrics").alias(c) if c == "lyrics_text" else c for c in items.columns]
+    )
+
+
 def collision_report(plan: DataFrame) -> DataFrame:
     """Targets that more than one moved or converted file would take."""
     return (

@@ -55,13 +55,3 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.explode(F.array(made)).alias("_once")).select(
         *kept, *[F.col(f"_once.{name}").alias(name) for name in columns]
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has too few splits to keep them busy.
-
-    Only the split count is looked at. Input of a cluster's size has enough
-    splits and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,8 @@ replies is parsed in one projection. Broken or foreign bodies give empty values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,25 @@ def read_responses(spark: SparkSession, path: str, service: str | None = None) -
     return rows.filter(F.col("service") == service) if service else rows
 
 
+def answers(asked: DataFrame, replies: DataFrame, parse: Callable[[str], Column] | None = None) -> DataFrame:
+    """One reply for each address in ``asked`` (url): url and ``body``, or what ``parse`` makes of it.
+
+    Only replies to those addresses are compared and parsed. Of several to one address the
+    first by request_id counts (by body where there is none).
+    """
+    wanted = asked.select("url").filter(F.col("url").isNotNull()).distinct()
+    rank = F.struct("request_id", "body") if "request_id" in replies.columns else F.col("body")
+    picked = replies.join(wanted, "url", "left_semi").groupBy("url").agg(F.min_by("body", rank).alias("body"))
+    return picked if parse is None else picked.select("url", parse("body").alias("body"))
+
+
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: of several the one with the lowest hash of all its columns."""
+    rest = [c for c in rows.columns if c != key]
+    picked = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
+    return picked.select(key, "_row.*")
+
+
 def empty_array(ddl: str) -> Column:
     """An empty array of the given type."""
     return F.array().cast(ddl)
@@ -288,7 +309,9 @@ def with_master_year(releases: DataFrame, masters: DataFrame) -> DataFrame:
 
     Both hold ``master_id``; ``masters`` also ``master_year`` as text.
     """
-    known = masters.filter(F.col("master_year").try_cast("int") > 0).dropDuplicates(["master_id"])
+    known = masters.filter(F.col("master_year").try_cast("int") > 0).groupBy("master_id").agg(
+        F.min("master_year").alias("master_year")
+    )
     dated = releases.join(known, "master_id", "left")
     missing = F.col("release_date").isin("", "0") & F.col("master_year").isNotNull()
     return dated.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogkit.plans import approval, files
+from catalogkit.sources import requests
 
 from . import views
 from .registry import Registry
@@ -54,6 +55,8 @@ SELECT 'copy' AS action, 'mp3/' || rel_path AS src, 'flac/' || rel_path AS dst,
   AND NOT EXISTS (SELECT 1 FROM flac f WHERE lower(f.rel_path) = lower(m.rel_path)) AND NOT EXISTS (SELECT 1 FROM flac f WHERE lower(f.rel_path) = lower(m.dir || '/' || m.stem || '.flac'))
 UNION ALL SELECT 'convert', 'flac/' || rel_path, 'mp3/' || dir || '/' || stem || '.mp3', 'mp3_missing' FROM fd f WHERE ext = '.flac'
   AND NOT EXISTS (SELECT 1 FROM mp3 m WHERE lower(m.rel_path) = lower(f.dir || '/' || f.stem || '.mp3') AND m.length > 0)
+UNION ALL SELECT 'tag', 'mp3/' || dir || '/' || stem || '.mp3', 'mp3/' || dir || '/' || stem || '.mp3', 'tags_from_path' FROM fd f WHERE ext = '.flac'
+  AND NOT EXISTS (SELECT 1 FROM mp3 m WHERE lower(m.rel_path) = lower(f.dir || '/' || f.stem || '.mp3') AND m.length > 0)
 UNION ALL SELECT 'make_dir', '', 'mp3/' || dir, 'folder_missing' FROM dirs WHERE lower(dir) NOT IN (SELECT dir FROM mdirs)
 UNION ALL SELECT 'copy', 'flac/' || rel_path, 'mp3/' || rel_path, 'cover_missing' FROM flac f WHERE rel_path LIKE '%/cover.jpg' AND NOT EXISTS (SELECT 1 FROM mp3 m WHERE lower(m.rel_path) = lower(f.rel_path))
 UNION ALL SELECT 'retag', 'mp3/' || rel_path, 'mp3/' || rel_path, 'tags_from_path' FROM mp3 WHERE ext = '.mp3'
@@ -63,12 +66,16 @@ def mirror_plan(spark, sf_dir):
 
 
 @query(f"""
-WITH {_TREES}, c AS (SELECT {_DIR} AS dir, rel_path AS cover FROM mp3 WHERE rel_path LIKE '%/cover.jpg')
+WITH {_TREES}, fd AS (SELECT *, {_STEM} AS stem, {_DIR} AS dir FROM flac),
+made AS (SELECT min(dir || '/' || stem || '.mp3') AS rel_path FROM fd WHERE ext = '.flac' AND lower(dir || '/' || stem || '.mp3') NOT IN (SELECT lower(rel_path) FROM mp3) GROUP BY lower(dir || '/' || stem)),
+songs AS (SELECT rel_path FROM mp3 WHERE ext = '.mp3' UNION ALL SELECT rel_path FROM made),
+c AS (SELECT lower({_DIR}) AS dir, coalesce(min(rel_path) FILTER (tree = 1), min(rel_path)) AS cover
+  FROM (SELECT rel_path, 1 AS tree FROM mp3 UNION ALL SELECT rel_path, 2 FROM flac) WHERE lower(rel_path) LIKE '%/cover.jpg' GROUP BY 1)
 SELECT m.rel_path, split_part(m.rel_path, '/', 1) AS artist, split_part(m.rel_path, '/', 2) AS album, {_STEM.replace('rel_path', 'm.rel_path')} AS title, '' AS track_no,
-  coalesce(c.cover, '') AS cover FROM mp3 m LEFT JOIN c ON c.dir = {_DIR.replace('rel_path', 'm.rel_path')} WHERE m.ext = '.mp3'
+  coalesce(c.cover, '') AS cover FROM songs m LEFT JOIN c ON c.dir = lower({_DIR.replace('rel_path', 'm.rel_path')})
 """)
 def mirror_tags(spark, sf_dir):
-    return files.mirror_tags(_trees(spark, sf_dir)[1])
+    return files.mirror_tags(*_trees(spark, sf_dir))
 
 
 def _approved(spark, sf_dir):
@@ -99,6 +106,7 @@ existing AS (SELECT 'mp3/' || s_name || '_/' || p_brand || '_ ' || p_type || '/c
 plan AS (SELECT 'tag' AS action, path AS src, path AS dst, CASE ext WHEN '.flac' THEN 'vorbis' ELSE 'id3' END AS reason FROM todo
 UNION ALL SELECT 'move', path, 'flac/' || target || '/' || base_name || '.flac', 'approved_flac' FROM todo WHERE ext = '.flac'
 UNION ALL SELECT 'convert', 'flac/' || target || '/' || base_name || '.flac', 'mp3/' || target || '/' || base_name || '.mp3', 'mp3_mirror' FROM todo WHERE ext = '.flac'
+UNION ALL SELECT 'tag', 'mp3/' || target || '/' || base_name || '.mp3', 'mp3/' || target || '/' || base_name || '.mp3', 'id3' FROM todo WHERE ext = '.flac'
 UNION ALL SELECT 'move', path, 'mp3/' || target || '/' || base_name || '.mp3', 'approved_mp3' FROM todo WHERE ext = '.mp3'
 UNION ALL SELECT 'copy', 'mp3/' || target || '/' || base_name || '.mp3', 'flac/' || target || '/' || base_name || '.mp3', 'mp3_fallback' FROM todo WHERE ext = '.mp3'
 UNION ALL SELECT 'write_cover', cover, dir || '/cover.jpg', 'cover' FROM cover_rows c WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.path = c.dir || '/cover.jpg' AND e.length = c.cover_length))"""
@@ -173,7 +181,7 @@ def leftover_plan(spark, sf_dir):
         F.lit(".jpg").alias("ext"),
     ).distinct()
     inbox = rows.select("rel_path", "ext").unionByName(extra)
-    target = F.substring("flac_dir", 6, 1000)
+    target = F.expr("substr(flac_dir, 6)")
     present = gone.filter(F.length(target) % 2 == 0).select(F.concat("flac_dir", F.lit("/cover.jpg")).alias("path"))
     return approval.plan_leftovers(inbox, gone, present)
 
@@ -185,6 +193,20 @@ UNION ALL SELECT seq, 'TDRC', year FROM t WHERE year <> '' UNION ALL SELECT seq,
 UNION ALL SELECT seq, 'APIC', CASE c WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END FROM t WHERE c <> 0
 """)
 def tag_manifest(spark, sf_dir):
+    return _manifest(spark, sf_dir, "id3")
+
+
+@query(f"""
+WITH {views.SALES_SQL}, t AS (SELECT seq, s_name, p_name, CASE WHEN l_linenumber = 2 THEN '' ELSE p_brand END AS album, CASE WHEN l_returnflag = 'A' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS year, l_linenumber % 3 AS c FROM sales)
+SELECT seq, 'ALBUM' AS tag, album AS value FROM t WHERE album <> '' UNION ALL SELECT seq, 'ARTIST', s_name FROM t UNION ALL SELECT seq, 'TITLE', p_name FROM t
+UNION ALL SELECT seq, 'DATE', year FROM t WHERE year <> '' UNION ALL SELECT seq, 'YEAR', year[1:4] FROM t WHERE year <> ''
+UNION ALL SELECT seq, 'PICTURE', 'image/jpeg' FROM t WHERE c <> 0
+""")
+def tag_manifest_vorbis(spark, sf_dir):
+    return _manifest(spark, sf_dir, "vorbis")
+
+
+def _manifest(spark, sf_dir, style):
     third = F.col("l_linenumber") % 3
     items = views.sales(spark, sf_dir).select(
         F.col("seq").alias("path"),
@@ -196,4 +218,24 @@ def tag_manifest(spark, sf_dir):
         F.lit("").alias("lyrics_text"),
         F.when(third == 0, F.unhex(F.lit(""))).when(third == 1, F.unhex(F.lit("89504E47AA"))).otherwise(F.unhex(F.lit("FFD8FF"))).alias("cover_bytes"),
     )
-    return approval.tag_manifest(items, "id3").select(F.col("path").alias("seq"), F.explode("tags").alias("tag", "value"))
+    return approval.tag_manifest(items, style).select(F.col("path").alias("seq"), F.explode("tags").alias("tag", "value"))
+
+
+@query("""
+WITH i AS (SELECT conv_id, turn, text, role || '-' || conv_id::VARCHAR AS artist, (conv_id + turn) % 4 AS kind FROM conversations)
+SELECT conv_id, turn, md5(CASE kind WHEN 0 THEN 'own ' || role WHEN 1 THEN 'lrc ' || text ELSE '' END) AS lyrics_text FROM i JOIN conversations USING (conv_id, turn, text)
+""")
+def approval_lyrics(spark, sf_dir):
+    turns = views.spread_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    items = turns.select(
+        "conv_id", "turn", "text", kind.alias("kind"),
+        F.concat("role", F.lit("-"), F.col("conv_id").cast("string")).alias("artist"),
+        F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"),
+        F.lit("").alias("album"),
+        F.when(kind == 0, F.concat(F.lit("own "), "role")).otherwise("").alias("lyrics_text"),
+    )
+    body = F.to_json(F.struct(F.concat(F.lit("lrc "), "text").alias("syncedLyrics")))
+    replies = items.filter("kind IN (0, 1)").select(requests.lrclib("artist", "title", "album").alias("url"), body.alias("body"))
+    filled = approval.fill_lyrics(items.drop("text"), replies)
+    return filled.select("conv_id", "turn", F.md5("lyrics_text").alias("lyrics_text"))

@@ -465,6 +465,10 @@ def parse_lyrics_replies(spark, sf_dir):
     )
 
 
+def _lyric_link():
+    return F.concat_ws("/", F.lit("http://l"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
 _LYRIC_ITEMS = """
 i AS (SELECT conv_id, turn, role || '-' || conv_id::VARCHAR AS artist, 'turn ' || turn::VARCHAR AS title, text, (conv_id * 7 + turn) % 5 AS kind FROM conversations),
 f AS (SELECT *, CASE kind WHEN 0 THEN 'lrc ' || text WHEN 1 THEN '[01:00]' || text WHEN 2 THEN '[00:09]歌' ELSE '' END AS fetched FROM i)"""
@@ -472,9 +476,10 @@ f AS (SELECT *, CASE kind WHEN 0 THEN 'lrc ' || text WHEN 1 THEN '[01:00]' || te
 
 @query(f"""
 WITH {_LYRIC_ITEMS}
-SELECT conv_id, turn, md5(CASE WHEN fetched <> '' THEN fetched WHEN kind = 3 THEN 'romaji text' ELSE '' END) AS lyrics_text,
-  fetched <> '' OR kind = 3 AS has_lyrics, kind IN (1, 2) AS has_synced, CASE WHEN kind = 2 THEN '[00:09]歌' ELSE '' END AS original,
-  CASE WHEN kind = 2 THEN '[00:09]歌' WHEN kind = 3 THEN 'romaji text' ELSE '' END AS romaji FROM f
+SELECT conv_id, turn, md5(CASE WHEN linked THEN 'linked ' || text WHEN fetched <> '' THEN fetched WHEN kind = 3 THEN 'romaji text' ELSE '' END) AS lyrics_text,
+  linked OR fetched <> '' OR kind = 3 AS has_lyrics, NOT linked AND kind IN (1, 2) AS has_synced,
+  CASE WHEN linked THEN 'http://l/' || conv_id || '/' || turn WHEN kind = 2 THEN '[00:09]歌' ELSE '' END AS original,
+  CASE WHEN kind = 2 AND NOT linked THEN '[00:09]歌' WHEN kind = 3 THEN 'romaji text' ELSE '' END AS romaji FROM (SELECT *, turn % 3 = 1 AS linked FROM f)
 """)
 def resolve_lyrics(spark, sf_dir):
     kind = (F.col("conv_id") * 7 + F.col("turn")) % 5
@@ -489,7 +494,7 @@ def resolve_lyrics(spark, sf_dir):
         F.lit("").alias("album"),
         F.lit("").alias("lyrics_text"),
         F.struct(
-            F.lit("").alias("original"), F.when(kind == 3, "romaji text").otherwise("").alias("romaji"), F.lit("").alias("english")
+            F.when(F.col("turn") % 3 == 1, _lyric_link()).otherwise("").alias("original"), F.when(kind == 3, "romaji text").otherwise("").alias("romaji"), F.lit("").alias("english")
         ).alias("lyrics"),
     )
     lrc = items.filter("kind IN (0, 2)").select(
@@ -509,7 +514,11 @@ def resolve_lyrics(spark, sf_dir):
     )
     replies = lrc.unionByName(qq)
     fetched = lyrics.lookup_lyrics(items, replies)
-    settled = lyrics.resolve_lyrics(fetched, replies.filter("false"))
+    # The same address twice: the first by request_id counts.
+    linked = turns.filter("turn % 3 = 1").select(
+        _lyric_link().alias("url"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("request_id"), "text"
+    ).select("url", "request_id", F.concat(F.when(F.col("request_id") == "a", "linked ").otherwise("a later "), "text").alias("body"))
+    settled = lyrics.resolve_lyrics(fetched, linked)
     return settled.select(
         "conv_id", "turn", F.md5("lyrics_text").alias("lyrics_text"), "has_lyrics", "has_synced", "lyrics.original", "lyrics.romaji"
     )

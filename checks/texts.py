@@ -188,8 +188,30 @@ def _replaced(value: str, table: dict[str, str], fold: bool) -> str:
     return value
 
 
-_KANA_SQL = _replaced("text", japanese.KATAKANA, True)
-_READ_SQL = _replaced("kana", japanese.READINGS, False)
+def _kana() -> tuple[dict[str, str], dict[str, str]]:
+    """Readings of kana, and katakana of syllables, spelled out from the rows of the syllabary."""
+    rows = {
+        "": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも",
+        "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ",
+    }
+    plain = {kana: c + v for c, row in rows.items() for v, kana in zip("aiueo", row)}
+    plain |= {"や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "を": "wo", "ん": "n"}
+    read = plain | {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "ゐ": "wi", "ゑ": "we", "ゎ": "wa"}
+    read |= dict(zip("ぁぃぅぇぉ", "aiueo"))
+    soft = {"き": "ky", "し": "sh", "ち": "ch", "に": "ny", "ひ": "hy", "み": "my", "り": "ry", "ぎ": "gy", "じ": "j", "ぢ": "j", "び": "by", "ぴ": "py"}
+    joined = {kana + small: c + v for kana, c in soft.items() for small, v in zip("ゃゅょ", "auo")}
+    read |= joined | {"ふ" + s: "f" + v for s, v in zip("ぁぃぇぉ", "aieo")} | {"う" + s: "w" + v for s, v in zip("ぃぇぉ", "ieo")}
+    read |= {"てぃ": "ti", "でぃ": "di", "どぅ": "du", "ゔぁ": "va", "ゔぃ": "vi", "ゔ": "vu", "じぇ": "je", "ちぇ": "che", "しぇ": "she"}
+    shifted = lambda text: "".join(chr(ord(c) + 0x60) for c in text)
+    units = {syllable: shifted(kana) for kana, syllable in plain.items()}
+    units |= {"shi": "シ", "chi": "チ", "tsu": "ツ", "fu": "フ"}
+    units |= {syllable: shifted(kana) for kana, syllable in joined.items() if kana[0] != "ぢ"}
+    return read | {shifted(kana): syllable for kana, syllable in read.items()} | {"ー": "-"}, units
+
+
+_READINGS, _UNITS = _kana()
+_KANA_SQL = _replaced("text", _UNITS, True)
+_READ_SQL = _replaced("kana", _READINGS, False)
 
 
 @query(f"SELECT doc_id, md5({_KANA_SQL}) AS kana FROM documents")
@@ -206,7 +228,7 @@ def kana_to_romaji(spark, sf_dir):
 
 
 _LYRIC_SQL = (
-    "regexp_replace('[00:0' || (doc_id % 9)::VARCHAR || ']私の運命(さだめ)' || chr(10) || k, "
+    "regexp_replace('[00:0' || (doc_id % 9)::VARCHAR || ']青い港(みなと)へ' || chr(10) || k, "
     "'[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{3005}]*\\(([^)\\n]*[\\x{3040}-\\x{30FF}][^)\\n]*)\\)', '\\1', 'g')"
 )
 
@@ -216,7 +238,7 @@ _LYRIC_SQL = (
 def romanize_lyrics(spark, sf_dir):
     docs = views.spread_table(spark, sf_dir, "documents", "doc_id", "text")
     song = F.concat(
-        F.lit("[00:0"), (F.col("doc_id") % 9).cast("string"), F.lit("]私の運命(さだめ)\n"), japanese.romaji_to_katakana("text")
+        F.lit("[00:0"), (F.col("doc_id") % 9).cast("string"), F.lit("]青い港(みなと)へ\n"), japanese.romaji_to_katakana("text")
     )
     return docs.select("doc_id", song.alias("song")).select(
         "doc_id", F.md5(japanese.romanize_lyrics("song")).alias("lyrics")

@@ -9,16 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogkit.session import once, spread
+from catalogkit.session import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What the rows of a stand-in table are dealt by; its file is one row group, which no scan can split.
+_DEALT_BY = {
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table, on all cores even when the file is a single split."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """Columns of a table, dealt by its key."""
+    return table(spark, sf_dir, name).select(*columns).repartition(*_DEALT_BY[name])
 
 
 def padded(column: str, width: int) -> Column:

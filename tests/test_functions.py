@@ -8,68 +8,68 @@ from catalogkit.functions import extract, japanese, language, text, values
 L = F.lit
 
 CASES = [
-    (lambda: values.parse_duration_ms(L("03:45")), 225000),
-    (lambda: values.parse_duration_ms(L("1:02:15")), 3735000),
-    (lambda: values.parse_duration_ms(L("45")), 45000),
+    (lambda: values.parse_duration_ms(L("02:09")), 129000),
+    (lambda: values.parse_duration_ms(L("2:00:01")), 7201000),
+    (lambda: values.parse_duration_ms(L("8")), 8000),
     (lambda: values.parse_duration_ms(L("")), 0),
-    (lambda: values.parse_position(L("A1"), L(1)), 1),
-    (lambda: values.parse_position(L("B2"), L(2)), 2),
-    (lambda: values.parse_position(L("07"), L(7)), 7),
-    (lambda: values.parse_position(L("Track"), L(5)), 5),
-    (lambda: values.format_release_date(L(2024), L(5), L(12)), "2024.05.12"),
-    (lambda: values.format_release_date(L(2024), L(0), L(12)), "2024"),
-    (lambda: values.format_elapsed(L(3665)), "61:05"),
-    (lambda: values.format_eta(L(3665)), "01:01:05"),
-    (lambda: extract.extract_discogs_id(L("https://www.discogs.com/release/1234567-x"))["id"], "1234567"),
-    (lambda: extract.extract_discogs_id(L("https://www.discogs.com/master/987654"))["is_master"], True),
-    (lambda: extract.extract_uuid(L("https://x.org/release/0A1b2c3d-0000-1111-2222-333344445555?x")), "0A1b2c3d-0000-1111-2222-333344445555"),
-    (lambda: extract.extract_uuid(L("https://x.org/release/1")), ""),
-    (lambda: extract.extract_vdb_id(L("https://vocadb.net/Al/1520/unhappy-refrain")), 1520),
-    (lambda: extract.extract_vdb_id(L("none")), 0),
-    (lambda: extract.extract_thwiki_id(L("https://thwiki.cc/album.php?m=ga&a=114151")), 114151),
-    (lambda: extract.extract_thwiki_id(L("https://thwiki.cc/album.php?m=gt&i=1266162")), 1266162),
-    (lambda: extract.extract_thwiki_id(L("THWIKI_43822")), 43822),
-    (lambda: extract.extract_thwiki_id(L("?a=9999999999 12")), 0),
-    (lambda: text.clean_album_title(L("Shisou [Historical Disc]")), "Shisou"),
-    (lambda: text.clean_album_title(L("2004.05.06 - Name")), "Name"),
-    (lambda: text.clean_album_title(L("1999")), ""),
-    (lambda: text.strip_brackets(L("a(b(c)d")), "a"),
-    (lambda: text.strip_brackets(L("a)b]c(d)e")), "abce"),
-    (lambda: text.strip_brackets(L("x" + "(" * 9 + "y" + ")" * 9 + "z")), "xz"),
-    (lambda: text.strip_brackets(L("[a}b(c")), "b"),
-    (lambda: text.normalize_key(L("Foo - Bar_Baz/～[x].mp3")), "foobarbazmp3"),
-    (lambda: text.normalize_key(L("ÀÉ It's!")), "ÀÉit's!"),
-    (lambda: text.sanitize_filename(L('a<b>:c"d.. ')), "a_b__c_d"),
-    (lambda: text.sanitize_filename(L("   ")), "_"),
-    (lambda: text.sanitize_filename(L("...")), ""),
-    (lambda: text.sanitize_filename(L("  ..")), ".."),
-    (lambda: text.trim_markup(L("*-45-")), "45"),
-    (lambda: text.normalize_track_name(L("01. Foo Bar.mp3")), "foobar"),
-    (lambda: text.normalize_track_name(L("01 - Foo. Bar.mp3")), "01foobar"),
-    (lambda: text.url_encode_rfc3986(L("Bad Apple!! ~*")), "Bad%20Apple%21%21%20~%2A"),
-    (lambda: text.unescape_html(L("a &amp;lt; &#58; &#x41; &#200; &foo; &quot;&")), 'a &lt; : A &#200; &foo; "&'),
-    (lambda: text.decode_base64_text(L("aGVs\n bG8")), "hello"),
-    (lambda: extract.extract_catalog_no(L("x [DBPS-001] y")), "DBPS-001"),
-    (lambda: extract.extract_artist_from_filename(L("[AB-12] [C79 x] [Band] t.mp3")), "Band"),
-    (lambda: extract.extract_year(L("12345 1998.2003")), "1998"),
-    (lambda: extract.route_metadata_link(L("TDB:12")), "touhoudb"),
-    (lambda: extract.route_metadata_link(L("r123")), "discogs"),
-    (lambda: extract.release_web_url(L("vocadb_7")), "https://vocadb.net/Al/7"),
-    (lambda: extract.leading_track_no(L("07. x.mp3")), 7),
-    (lambda: extract.leading_track_no(L("1234 x.mp3")), 0),
-    (lambda: extract.match_stem(L("07 - Foo.Bar.mp3")), "foobar"),
-    (lambda: japanese.contains_cjk(L("例大祭13")), True),
-    (lambda: japanese.contains_cjk(L("DBPS-002")), False),
-    (lambda: japanese.kana_to_romaji(L("きっちり")), "kitchiri"),
-    (lambda: japanese.kana_to_romaji(L("きょうふさえあまく")), "kyoufusaeamaku"),
-    (lambda: japanese.kana_to_romaji(L("とうほうぷろじぇくと")), "touhoupurojekuto"),
-    (lambda: japanese.kana_to_romaji(L("ヴェッあっーっx")), "vuea--tsux"),
-    (lambda: japanese.romaji_to_katakana(L("Shisou ji")), "シソウ jイ"),
-    (lambda: japanese.romanize_lyrics(L("\n[00:01]私の運命(さだめ)\r\nabc (x)\n")), "[00:01]私nosadame\nabc (x)"),
-    (lambda: language.pick_best_name(L(""), L("e"), L("j"), L("d")), "e"),
-    (lambda: language.pick_best_lyrics(L("r"), L(""), L("j"), "English"), "r"),
-    (lambda: language.pick_best_lyrics(L("r"), L("e"), L("j"), "Japanese"), "j"),
-    (lambda: language.has_synced_lyrics(L("[00:10]x")), True),
+    (lambda: values.parse_position(L("C4"), L(9)), 4),
+    (lambda: values.parse_position(L("011"), L(1)), 11),
+    (lambda: values.parse_position(L("Intro"), L(6)), 6),
+    (lambda: values.format_release_date(L(1991), L(11), L(3)), "1991.11.03"),
+    (lambda: values.format_release_date(L(1991), L(0), L(3)), "1991"),
+    (lambda: values.format_elapsed(L(3725)), "62:05"),
+    (lambda: values.format_eta(L(3725)), "01:02:05"),
+    (lambda: extract.extract_discogs_id(L("https://www.discogs.com/release/86420-a-b"))["id"], "86420"),
+    (lambda: extract.extract_discogs_id(L("https://www.discogs.com/master/31"))["is_master"], True),
+    (lambda: extract.extract_uuid(L("see https://m.example/x/9F0e1d2c-abcd-4123-9abc-00000000000F/y")), "9F0e1d2c-abcd-4123-9abc-00000000000F"),
+    (lambda: extract.extract_uuid(L("https://m.example/x/12-34")), ""),
+    (lambda: extract.extract_vdb_id(L("https://vocadb.net/Al/77/some-name")), 77),
+    (lambda: extract.extract_vdb_id(L("no digits")), 0),
+    (lambda: extract.extract_thwiki_id(L("https://thwiki.cc/album.php?m=ga&a=207")), 207),
+    (lambda: extract.extract_thwiki_id(L("https://thwiki.cc/album.php?m=gt&i=3141")), 3141),
+    (lambda: extract.extract_thwiki_id(L("THWIKI_58")), 58),
+    (lambda: extract.extract_thwiki_id(L("?a=8888888888 5")), 0),
+    (lambda: text.clean_album_title(L("Lanterns [Second Print]")), "Lanterns"),
+    (lambda: text.clean_album_title(L("1987.12.31 - Maps")), "Maps"),
+    (lambda: text.clean_album_title(L("1987")), ""),
+    (lambda: text.strip_brackets(L("p{q[r]s}t")), "pt"),
+    (lambda: text.strip_brackets(L("w]x)y(z[v")), "wxy"),
+    (lambda: text.strip_brackets(L("m" + "[" * 12 + "n" + "]" * 12 + "o")), "mo"),
+    (lambda: text.strip_brackets(L("{u)v[w")), "v"),
+    (lambda: text.normalize_key(L("Salt_Wind - 3/～(live).ogg")), "saltwind3ogg"),
+    (lambda: text.normalize_key(L("ÖÄ Don't?")), "ÖÄdon't?"),
+    (lambda: text.sanitize_filename(L('q|r*s"t>u. .')), "q_r_s_t_u"),
+    (lambda: text.sanitize_filename(L("  ")), "_"),
+    (lambda: text.sanitize_filename(L("..")), ""),
+    (lambda: text.sanitize_filename(L(" ...")), "..."),
+    (lambda: text.trim_markup(L("*-K2-")), "K2"),
+    (lambda: text.normalize_track_name(L("12. Salt Wind.flac")), "saltwind"),
+    (lambda: text.normalize_track_name(L("12 - Salt. Wind.flac")), "12saltwind"),
+    (lambda: text.url_encode_rfc3986(L("Tide? (a) ~#")), "Tide%3F%20%28a%29%20~%23"),
+    (lambda: text.unescape_html(L("p &amp;gt; &#43; &#x5A; &#300; &bar; &quot;&")), 'p &gt; + Z &#300; &bar; "&'),
+    (lambda: text.decode_base64_text(L("d2lu\n ZA")), "wind"),
+    (lambda: extract.extract_catalog_no(L("a [QRST-907] b")), "QRST-907"),
+    (lambda: extract.extract_artist_from_filename(L("[CD-7] [Round Table] a.mp3")), "Round Table"),
+    (lambda: extract.extract_year(L("99887 1976.2011")), "1976"),
+    (lambda: extract.route_metadata_link(L("UDB:5")), "utaitedb"),
+    (lambda: extract.route_metadata_link(L("m77")), "discogs"),
+    (lambda: extract.release_web_url(L("utaitedb_31")), "https://utaitedb.net/Al/31"),
+    (lambda: extract.leading_track_no(L("11. a.flac")), 11),
+    (lambda: extract.leading_track_no(L("9876 a.flac")), 0),
+    (lambda: extract.match_stem(L("11 - Salt.Wind.flac")), "saltwind"),
+    (lambda: japanese.contains_cjk(L("夜 ab")), True),
+    (lambda: japanese.contains_cjk(L("QRST-907 é")), False),
+    (lambda: japanese.kana_to_romaji(L("はっしゃ")), "hassha"),
+    (lambda: japanese.kana_to_romaji(L("みなとのよるにゆきがふる")), "minatonoyoruniyukigafuru"),
+    (lambda: japanese.kana_to_romaji(L("ちゃいろいうみ")), "chairoiumi"),
+    (lambda: japanese.kana_to_romaji(L("キャッチー")), "kyatchi-"),
+    (lambda: japanese.kana_to_romaji(L("ヴォっ")), "vuotsu"),
+    (lambda: japanese.romaji_to_katakana(L("Kaze ryu")), "カゼ リュ"),
+    (lambda: japanese.romanize_lyrics(L("\n[02:03]青い港(みなと)へ\r\nplain (words)\n")), "[02:03]青iminatohe\nplain (words)"),
+    (lambda: language.pick_best_name(L(""), L("second"), L("third"), L("own")), "second"),
+    (lambda: language.pick_best_lyrics(L("latin"), L(""), L("native"), "English"), "latin"),
+    (lambda: language.pick_best_lyrics(L("latin"), L("english"), L("native"), "Japanese"), "native"),
+    (lambda: language.has_synced_lyrics(L("[03:33]x")), True),
 ]
 
 
