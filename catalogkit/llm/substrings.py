@@ -1,7 +1,7 @@
 """Removal of repeated word windows, counted exactly by super-k-mer partitioning.
 
 1. Whole rows form blocks of a few MB. Consecutive windows of a text that share their
-   minimiser (the lowest hash of two neighbouring words) make one super-k-mer, packed as
+   minimiser (the lowest hash of three neighbouring words) make one super-k-mer, packed as
    one string. Equal strings of a block travel once, with the block's lowest and highest
    doc_id that have them, to the bucket of the minimiser.
 2. A bucket holds every window of its minimisers. Sorting its windows gives the lowest
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from . import texts
 
 WINDOW = 13
-MINIMISER = 2
+#: Words of a minimiser: two would be common enough to crowd a bucket, more make shorter runs.
+MINIMISER = 3
 #: A longer run of windows (a word repeated over and over) is cut; its parts share the bucket.
 MOST_WINDOWS = 64
 BUCKETS_PER_PARTITION = 2
@@ -65,8 +66,10 @@ def super_kmers(words: texts.Words, hashes: np.ndarray, window: int) -> tuple[np
     starts, counts = texts.shingle_starts(words, window)
     if not len(starts):
         return starts, starts, np.zeros(0, np.uint64)
-    pairs = texts.mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    low = _lowest(pairs, window - MINIMISER + 1)[starts]
+    marks = np.zeros(len(hashes) - MINIMISER + 1, np.uint64)
+    for i in range(MINIMISER):
+        marks = marks * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(marks) + i]
+    low = _lowest(texts.mix(marks), window - MINIMISER + 1)[starts]
     owner = np.repeat(np.arange(len(counts)), counts)
     new = np.append(True, (np.diff(owner) != 0) | (low[1:] != low[:-1]))
     begun = np.flatnonzero(new)
