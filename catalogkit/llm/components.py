@@ -15,6 +15,11 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["s"]
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Lowest neighbour of each node, written: the join then shuffles both sides and can split a hub's edges."""
+    return cut_lineage(edges.groupBy("a").agg(F.min("b").alias("low")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` pairs of long ids -> ``(node, component)``, the component being its smallest node.
 
@@ -28,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(stars)
     while mark[0]:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = both.groupBy("a").agg(F.min("b").alias("low"))
+        lows = _lowest(both)
         large = (
             both.join(lows, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         )
-        lows = large.groupBy("a").agg(F.min("b").alias("low"))
+        lows = _lowest(large)
         small = (
             large.join(lows, "a")
             .select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e"))

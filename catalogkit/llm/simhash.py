@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, differing: int =
     placed = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "component", F.coalesce("component", "fingerprint")
     )
-    named = placed.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    # Written, so that a large component can be split when it is joined back.
+    named = cut_lineage(placed.groupBy("component").agg(F.min("low_id").alias("component_id")))
     groups = placed.join(named, "component").select("fingerprint", "component_id")
     return prints.join(groups, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
