@@ -27,6 +27,7 @@ BLOCK = 3072
 SAMPLE, MOST_CELLS, CELL_ROWS = 2048, 64, 8192
 LEVELS = 6
 TILE = 1024
+_CHUNK = 1 << 15
 #: Distances come from rounded products; bounds keep this much apart from the threshold.
 SLACK = 1e-6
 
@@ -58,108 +59,186 @@ def centres(x: np.ndarray, most: int, stop: float) -> np.ndarray:
 class Tree:
     """Nested nets over unit vectors, which are put in an order that makes every node a range.
 
-    ``nodes[level]`` is (centre vectors, begin, end, covering radius, parent) of its nodes.
+    ``nodes[level]`` is (place of the centre, begin, end, covering radius, first child) of
+    its nodes; the children of a node are those from its first child to the next node's.
     """
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, order: np.ndarray | None = None, nodes: list | None = None):
+        self.order, self.nodes = (order, nodes) if nodes is not None else self._build(x)
+        self.x = x[self.order] if order is None else x
+
+    @staticmethod
+    def _build(x: np.ndarray) -> tuple[np.ndarray, list]:
         chosen, radius = [0], 1.0
-        near = distances(x, x[:1])[:, 0]
+        near = x @ x[0]  # cosine to the nearest centre
+        near[0] = 1
         nets = [np.array([0])]
-        while len(nets) < LEVELS and near.max() > 0:
+        while len(nets) < LEVELS and len(chosen) < len(x):
+            least = 1 - radius * radius / 2
             for i in range(len(x)):
-                if near[i] > radius:
+                if near[i] < least:
                     chosen.append(i)
-                    near = np.minimum(near, distances(x, x[i : i + 1])[:, 0])
+                    np.maximum(near, x @ x[i], out=near)
+                    near[i] = 1
             nets.append(np.array(chosen))
             radius /= 2
         below = np.arange(len(x))  # place in the finest net, then in each coarser one
         above = []
         for net in reversed(nets):
-            nearest = np.concatenate([distances(x[below[a : a + TILE]], x[net]).argmin(1) for a in range(0, len(below), TILE)])
-            above.append(nearest)
+            nearest = [(x[below[a : a + TILE]] @ x[net].T).argmax(1) for a in range(0, len(below), TILE)]
+            above.append(np.concatenate(nearest))
             below = net
         place, chains = np.arange(len(x)), []
         for nearest in above:
             place = nearest[place]
             chains.append(place)
         chains.reverse()
-        self.order = np.lexsort(chains[::-1])
-        self.x, self.nodes = x[self.order], []
-        begin_above = None
+        order = np.lexsort(chains[::-1])
+        sorted_x, at = x[order], np.empty(len(x), np.int64)
+        at[order] = np.arange(len(x))
+        nodes, begins = [], []
         for net, chain in zip(nets, chains):
-            own = chain[self.order]
+            own = chain[order]
             begin = np.flatnonzero(np.diff(own, prepend=-1))
             end = np.append(begin[1:], len(x))
-            mid = x[net[own[begin]]]
-            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.x, np.repeat(mid, end - begin, axis=0)), 0))
+            mid = np.repeat(x[net[own[begin]]], end - begin, axis=0)
+            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", sorted_x, mid), 0))
             # A copy of its centre has distance zero, whatever rounding says.
-            far[(self.x == np.repeat(mid, end - begin, axis=0)).all(axis=1)] = 0
-            parent = np.zeros(len(begin), np.int64) if begin_above is None else np.searchsorted(begin_above, begin, "right") - 1
-            self.nodes.append((mid, begin, end, np.maximum.reduceat(far, begin), parent))
-            begin_above = begin
+            far[(sorted_x == mid).all(axis=1)] = 0
+            nodes.append([at[net[own[begin]]], begin, end, np.maximum.reduceat(far, begin)])
+            begins.append(begin)
+        for node, begin, under in zip(nodes, begins, [*begins[1:], begins[-1]]):
+            node.append(np.searchsorted(under, begin))
+        return order, [tuple(n) for n in nodes]
+
+    def level(self, depth: int):
+        return self.nodes[min(depth, len(self.nodes) - 1)]
+
+    def children(self, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child one level down of some nodes, and how many there are; a last level is its own child."""
+        if depth + 1 >= len(self.nodes):
+            return nodes, np.ones(len(nodes), np.int64)
+        first = self.nodes[depth][4]
+        last = np.append(first[1:], len(self.nodes[depth + 1][0]))
+        return first[nodes], last[nodes] - first[nodes]
+
+
+def _reaching(xa, ra, xb, rb, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes not farther apart than the limit and both radii, and their distance.
+
+    Nodes without extent and others are looked at apart, so that few wide nodes do not
+    keep the bound of all others loose.
+    """
+    found = []
+    for rows in (np.flatnonzero(ra == 0), np.flatnonzero(ra > 0)):
+        for cols in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)):
+            if not len(rows) or not len(cols):
+                continue
+            other, most = xb[cols].T, rb[cols].max()
+            for at in range(0, len(rows), TILE):
+                own = rows[at : at + TILE]
+                cos = xa[own] @ other
+                least = 1 - np.minimum(limit + ra[own] + most + SLACK, 2) ** 2 / 2
+                i, j = np.nonzero(cos >= least[:, None] - SLACK)
+                d = np.sqrt(np.maximum(2 - 2 * cos[i, j], 0))
+                i, j = own[i], cols[j]
+                kept = d <= limit + ra[i] + rb[j] + SLACK
+                found.append((i[kept], j[kept], d[kept]))
+    return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
-def linked(a: Tree, b: Tree, threshold: float) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
-    """Links between two trees: pairs of whole ranges, and pairs of single vectors."""
+def linked(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Links between two trees: rows (begin, end, begin, end) of ranges that link as a whole, and pairs of single vectors."""
     limit = np.sqrt(max(0.0, 2 - 2 * threshold))
-    ranges, left, right = [], [], []
+    ranges, left, right = [np.zeros((4, 0), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i = j = np.zeros(1, np.int64)  # pairs of nodes still open
     depth = max(len(a.nodes), len(b.nodes))
-    rows, cols, open_ = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones((1, 1), bool)
     for level in range(depth):
-        here = [t.nodes[min(level, len(t.nodes) - 1)] for t in (a, b)]
+        (ca, ba, ea, ra, _), (cb, bb, eb, rb, _) = a.level(level), b.level(level)
         if level:
-            steps = []
-            for t, kept in ((a, rows), (b, cols)):
-                if level < len(t.nodes):
-                    place = np.searchsorted(kept, t.nodes[level][4])
-                    under = np.flatnonzero(kept[np.minimum(place, len(kept) - 1)] == t.nodes[level][4])
-                    steps.append((under, place[under]))
-                else:
-                    steps.append((kept, np.arange(len(kept))))
-            (rows, up), (cols, over) = steps
-            open_ = open_[up][:, over]
-        (ca, ba, ea, ra, _), (cb, bb, eb, rb, _) = here
-        still = np.zeros_like(open_)
-        for at in range(0, len(rows), TILE):
-            own = rows[at : at + TILE]
-            d = distances(ca[own], cb[cols])
-            reach = ra[own][:, None] + rb[cols][None, :]
-            maybe = open_[at : at + TILE] & (d <= limit + reach + SLACK)
-            all_ = maybe & (d + reach <= limit - SLACK)
-            for i, j in zip(*np.nonzero(all_)):
-                ranges.append((ba[own[i]], ea[own[i]], bb[cols[j]], eb[cols[j]]))
-            still[at : at + TILE] = maybe & ~all_
-        keep_r, keep_c = still.any(1), still.any(0)
-        rows, cols, open_ = rows[keep_r], cols[keep_c], still[keep_r][:, keep_c]
-        if not len(rows):
+            (fi, ni), (fj, nj) = a.children(level - 1, i), b.children(level - 1, j)
+            if (ni * nj).sum() > 0.05 * len(ca) * len(cb):
+                # Nearly all pairs are open: all are measured, those below closed pairs dropped.
+                open_ = np.zeros((len(ca), len(cb)), bool)
+                for p, n, q, m in zip(fi.tolist(), ni.tolist(), fj.tolist(), nj.tolist()):
+                    open_[p : p + n, q : q + m] = True
+                i, j, d = _reaching(a.x[ca], ra, b.x[cb], rb, limit)
+                kept = open_[i, j]
+                i, j, d = i[kept], j[kept], d[kept]
+            else:
+                pair = np.repeat(np.arange(len(i)), ni * nj)
+                place = np.arange(len(pair)) - np.repeat(np.cumsum(ni * nj) - ni * nj, ni * nj)
+                i, j = fi[pair] + place // nj[pair], fj[pair] + place % nj[pair]
+                d = np.concatenate([np.zeros(0), *[
+                    np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x[ca[i[k : k + _CHUNK]]], b.x[cb[j[k : k + _CHUNK]]]), 0))
+                    for k in range(0, len(i), _CHUNK)
+                ]])
+                kept = d <= limit + ra[i] + rb[j] + SLACK
+                i, j, d = i[kept], j[kept], d[kept]
+        else:
+            d = distances(a.x[ca], b.x[cb])[0]
+        whole = d + ra[i] + rb[j] <= limit - SLACK
+        ranges.append(np.stack([ba[i[whole]], ea[i[whole]], bb[j[whole]], eb[j[whole]]]))
+        i, j = i[~whole], j[~whole]
+        if not len(i):
             break
-    if len(rows):
-        (_, ba, ea, _, _), (_, bb, eb, _, _) = (t.nodes[-1] for t in (a, b))
-        i, j = np.nonzero(open_)
-        i, j = rows[i], cols[j]
+    if len(i):
+        (_, ba, ea, _, _), (_, bb, eb, _, _) = a.nodes[-1], b.nodes[-1]
         for k, m in zip(i.tolist(), j.tolist()):
             for at in range(ba[k], ea[k], TILE):
                 near = a.x[at : min(at + TILE, ea[k])] @ b.x[bb[m] : eb[m]].T >= threshold
                 p, q = np.nonzero(near)
                 left.append(p + at)
                 right.append(q + bb[m])
-    whole = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (left, right)]
-    return ranges, (whole[0], whole[1])
+    ranges = np.concatenate(ranges, axis=1)
+    single = (ranges[1] - ranges[0] == 1) & (ranges[3] - ranges[2] == 1)
+    left.append(ranges[0, single])
+    right.append(ranges[2, single])
+    return ranges[:, ~single].T, (np.concatenate(left), np.concatenate(right))
+
+
+_BLOCK = "size int, cell int, part int, rep array<long>, copies array<long>, vectors binary, sizes array<int>, nodes binary, radii binary"
+
+
+def _stored(table: pa.Table, kind: str) -> pa.Table:
+    """A block with its tree, from the rows of the block."""
+    raw = table.column("vector").to_pylist()
+    tree = Tree(unit(raw, kind))
+    order = tree.order.tolist()
+    nodes = np.concatenate([np.stack([n[0], n[1], n[2], n[4]]) for n in tree.nodes], axis=1)
+    return pa.table(
+        {
+            "size": table.column("size").slice(0, 1), "cell": table.column("cell").slice(0, 1), "part": table.column("part").slice(0, 1),
+            "rep": pa.array([table.column("rep").take(order).to_pylist()], pa.list_(pa.int64())),
+            "copies": pa.array([table.column("copies").take(order).to_pylist()], pa.list_(pa.int64())),
+            "vectors": pa.array([b"".join(raw[i] for i in order)], pa.binary()),
+            "sizes": pa.array([[len(n[0]) for n in tree.nodes]], pa.list_(pa.int32())),
+            "nodes": pa.array([nodes.astype(np.int32).tobytes()], pa.binary()),
+            "radii": pa.array([np.concatenate([n[3] for n in tree.nodes]).tobytes()], pa.binary()),
+        }
+    )
+
+
+def _restored(row: dict, kind: str) -> tuple[Tree, np.ndarray, np.ndarray]:
+    x = scaled(np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(len(row["rep"]), -1))
+    whole, radii, at, nodes = np.frombuffer(row["nodes"], np.int32).reshape(4, -1).astype(np.int64), np.frombuffer(row["radii"]), 0, []
+    for n in row["sizes"]:
+        centre, begin, end, child = whole[:, at : at + n]
+        nodes.append((centre, begin, end, radii[at : at + n], child))
+        at += n
+    return Tree(x, np.arange(len(x)), nodes), np.array(row["rep"], np.int64), np.array(row["copies"], np.int64)
 
 
-def _settle(a: dict, b: dict | None, kind: str, threshold: float) -> dict:
+def _settle(blocks: list[dict], kind: str, threshold: float) -> dict:
     """Links found between two blocks, or inside one: per vector how many, and the lowest one reached here."""
-    trees = []
-    for block in (a, b) if b else (a,):
-        tree = Tree(unit(block["vector"], kind))
-        trees.append((tree, np.array(block["rep"], np.int64)[tree.order], np.array(block["copies"], np.int64)[tree.order]))
+    trees, b = [_restored(row, kind) for row in blocks], len(blocks) > 1
     (ta, ids_a, n_a), (tb, ids_b, n_b) = trees[0], trees[-1]
     ranges, (left, right) = linked(ta, tb, threshold)
     total_a, total_b = np.bincount(left, weights=n_b[right], minlength=len(n_a)), np.bincount(right, weights=n_a[left], minlength=len(n_b))
     sum_a, sum_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
     shift = len(n_a) if b else 0
     edges = [(left, right + shift)]
-    for p, q, r, s in ranges:
+    for p, q, r, s in ranges.tolist():
         total_a[p:q] += sum_b[s] - sum_b[r]
         total_b[r:s] += sum_a[q] - sum_a[p]
         edges += [(np.arange(p, q), np.full(q - p, r + shift)), (np.full(s - r, p), np.arange(r, s) + shift)]
@@ -242,23 +321,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         layout.append((c["size"], c["cell"], -(-c["n"] // BLOCK), met))
     spark = vectors.sparkSession
     plan = spark.createDataFrame(layout, "size int, cell int, parts int, met array<struct<cell: int, parts: int>>")
-    blocks = (
-        placed.join(F.broadcast(plan.select("size", "cell", "parts")), ["size", "cell"])
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .groupBy("size", "cell", "part")
-        .agg(F.collect_list(F.struct("rep", "copies", "vector")).alias("rows"))
+    parted = placed.join(F.broadcast(plan.select("size", "cell", "parts")), ["size", "cell"]).withColumn(
+        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     )
+    chosen = parted.select("size", "cell", "part", "rep", "copies", "vector").groupBy("size", "cell", "part")
+    # Trees are built once and meet every block that they may have links with.
+    blocks = chosen.applyInArrow(lambda table: _stored(table, kind), _BLOCK)
+    carried = ["rep", "copies", "vectors", "sizes", "nodes", "radii"]
     own = F.struct("cell", "part")
     partner = F.explode(F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0), m["parts"] - 1), lambda q: F.struct(m["cell"].alias("cell"), q.alias("part"))))))
-    pairs = blocks.join(F.broadcast(plan.drop("parts")), ["size", "cell"]).select("size", "rows", own.alias("own"), partner.alias("partner"))
-    pairs = pairs.select("size", "rows", F.least("own", "partner").alias("a"), F.greatest("own", "partner").alias("b"), (F.col("own") <= F.col("partner")).alias("first"))
+    pairs = blocks.join(F.broadcast(plan.drop("parts")), ["size", "cell"]).select("size", *carried, own.alias("own"), partner.alias("partner"))
+    pairs = pairs.select("size", *carried, F.least("own", "partner").alias("a"), F.greatest("own", "partner").alias("b"), (F.col("own") <= F.col("partner")).alias("first"))
 
     def run(table: pa.Table) -> pa.Table:
-        sides = []
-        for row in table.sort_by([("first", "descending")]).column("rows"):
-            rows = row.values
-            sides.append({name: rows.field(name).to_pylist() for name in ("rep", "copies", "vector")})
-        return pa.table(_settle(sides[0], sides[1] if len(sides) > 1 else None, kind, threshold))
+        return pa.table(_settle(table.sort_by([("first", "descending")]).select(carried).to_pylist(), kind, threshold))
 
     links = cut_lineage(pairs.groupBy("size", "a", "b").applyInArrow(run, "rep long, n long, low long"))
     graph = components(links.filter("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
