@@ -36,8 +36,11 @@ def _stored_columns(rows: DataFrame) -> list[Column]:
 
 
 def refresh_catalog(rows: DataFrame, path: str) -> None:
-    """Replace the stored catalog by these rows, each with an id made from its key."""
-    stored = rows.select(F.abs(F.xxhash64(*KEY)).alias("id"), *_stored_columns(rows))
+    """Replace the stored catalog by these rows.
+
+    ``id`` is a signed hash of the key, for joins; the key itself is what is unique.
+    """
+    stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows))
     stored.write.mode("overwrite").parquet(path)
 
 
