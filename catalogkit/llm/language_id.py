@@ -158,7 +158,9 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int =
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     part = 4 * -(-sample_bytes // sample_rows)
     few = known.sparkSession.createDataFrame([(k, min(1.0, 4 * sample_rows / n)) for k, n in counts.items()], "lang string, share double")
-    drawn = known.select("lang", "doc_id", F.substring("text", 1, part).alias("text"), spot.alias("spot")).join(few, "lang").filter("spot < share")
+    # One short row per language, made from the counts above.
+    drawn = known.select("lang", "doc_id", F.substring("text", 1, part).alias("text"), spot.alias("spot"))
+    drawn = drawn.join(F.broadcast(few), "lang").filter("spot < share")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id"))
     samples: dict[str, bytes] = {}
     for row in drawn.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).orderBy("lang", "rank").toLocalIterator():
