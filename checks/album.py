@@ -197,3 +197,75 @@ def choose_cover_source(spark, sf_dir):
         "url", F.when(F.col("rank") < 2, 0).otherwise(10).alias("length")
     )
     return covers.choose_cover_source(rows, fetched)
+
+
+# A summary with every tier of the filter codes, by supplier.
+_ALL_TIERS = [t for tiers in albums.TIER_FILTERS.values() for t in tiers]
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS n, s_name AS name, (ARRAY{_ALL_TIERS!r})[s_suppkey % {len(_ALL_TIERS)} + 1] AS tier FROM supplier)
+{' UNION ALL '.join(f"SELECT {code}::BIGINT AS code, n FROM s WHERE tier IN ({', '.join(map(repr, tiers))}) AND contains(lower(name), 'r#0000000')" for code, tiers in albums.TIER_FILTERS.items())}
+UNION ALL SELECT 0, n FROM s WHERE contains(lower(name), 'r#0000000')
+""")
+def filter_tiers(spark, sf_dir):
+    tier = F.get(F.array(*map(F.lit, _ALL_TIERS)), (F.col("s_suppkey") % len(_ALL_TIERS)).cast("int"))
+    summary = views.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("n"), F.col("s_name").alias("artist"), F.lit("").alias("album"), F.lit("").alias("release_id"), tier.alias("tier")
+    )
+    found = None
+    for code in [0, *albums.TIER_FILTERS]:
+        part = albums.filter_summary(summary, tier=code, search="R#0000000").select(F.lit(code).cast("bigint").alias("code"), "n")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(f"""
+WITH {_KEYED}, v AS (SELECT seq, title, NOT is_processed AS chosen, length(title) % 2 = 0 AS ro, length(title) % 3 = 0 AS en, length(title) % 5 = 0 AS jp FROM keyed)
+SELECT 'RO' AS language, seq, CASE WHEN chosen AND ro THEN 'ro ' || title WHEN chosen AND en THEN 'en ' || title ELSE title END AS title,
+  CASE WHEN chosen THEN CASE WHEN en THEN 'en words' ELSE 'or words' END ELSE 'now' END AS lyrics_text FROM v
+UNION ALL SELECT 'JP', seq, CASE WHEN chosen AND jp THEN 'jp ' || title WHEN chosen AND ro THEN 'ro ' || title ELSE title END,
+  CASE WHEN chosen THEN 'or words' ELSE 'now' END FROM v
+""")
+def switch_languages(spark, sf_dir):
+    items, size = _items(spark, sf_dir), F.length("title")
+
+    def named(word, step):
+        return F.when(size % step == 0, F.concat(F.lit(word + " "), "title")).otherwise("")
+
+    none = F.struct(*[F.lit("").alias(p) for p in ("romaji", "english", "japanese")])
+    tagged = items.withColumns(
+        {
+            "title_i18n": F.struct(named("ro", 2).alias("romaji"), named("en", 3).alias("english"), named("jp", 5).alias("japanese")),
+            "artist_i18n": none, "album_i18n": none, "lyrics_text": F.lit("now"),
+            "lyrics": F.struct(
+                F.lit("or words").alias("original"), F.lit("").alias("romaji"), F.when(size % 3 == 0, "en words").otherwise("").alias("english")
+            ),
+        }
+    )
+    parts = [
+        albums.switch_language(tagged, albums.unprocessed(items), code).select(F.lit(code).alias("language"), "seq", "title", "lyrics_text")
+        for code in ("RO", "JP")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""
+WITH {_KEYED}, refs AS (SELECT min(seq) AS ref_seq, folder FROM keyed WHERE NOT is_processed GROUP BY folder),
+chosen AS (SELECT k.seq AS ref_seq, k.folder, k.release_id, k.title_key, CASE WHEN length(k.title) % 2 = 0 THEN 'Al ' || k.title END AS new_album,
+  CASE WHEN length(k.title) % 3 = 0 THEN 'Y' || k.year END AS new_year FROM keyed k JOIN refs r ON k.seq = r.ref_seq),
+hits AS (SELECT i.seq, c.ref_seq, c.new_album, c.new_year FROM chosen c JOIN keyed i ON i.folder = c.folder WHERE NOT i.is_processed
+  UNION SELECT i.seq, c.ref_seq, c.new_album, c.new_year FROM chosen c JOIN keyed i ON c.release_id <> '' AND i.release_id = c.release_id WHERE NOT i.is_processed
+  UNION SELECT i.seq, c.ref_seq, c.new_album, c.new_year FROM chosen c JOIN keyed i ON i.title_key = c.title_key WHERE NOT i.is_processed),
+last_hit AS (SELECT seq, arg_max(new_album, ref_seq) FILTER (new_album IS NOT NULL) AS new_album, arg_max(new_year, ref_seq) FILTER (new_year IS NOT NULL) AS new_year FROM hits GROUP BY seq)
+SELECT k.seq, coalesce(h.new_album, k.album) AS album, coalesce(h.new_year, k.year) AS year FROM keyed k LEFT JOIN last_hit h USING (seq)
+""")
+def edit_albums(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    leads = albums.unprocessed(items).groupBy("folder").agg(F.min("seq").alias("seq")).select("seq")
+    size = F.length("title")
+    edits = items.join(leads, "seq", "left_semi").select(
+        F.col("seq").alias("ref_seq"), F.when(size % 2 == 0, F.concat(F.lit("Al "), "title")).alias("album"),
+        F.when(size % 3 == 0, F.concat(F.lit("Y"), "year")).alias("year"),
+    )
+    return albums.apply_to_album(items, edits).select("seq", "album", "year")
