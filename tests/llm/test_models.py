@@ -203,3 +203,12 @@ def test_end_token_has_its_own_class():
     assert tokens.classes[0] == maxent_lm.CLASSES - 1 and (tokens.classes[1:] < maxent_lm.CLASSES - 1).all()
     assert tokens.numbers.tolist() == [1, 0, 0]
     assert texts.hash_bytes(tokens.distinct, 7)[0] == tokens.hashes[0]
+
+
+def test_candidates_hold_every_token_that_can_be_found(rude):
+    rng = random.Random(10)
+    parts = ["id", "i", "dd", "1", "0", "t", "stu", "pid", "$", "!", "lo", "se", "r", "*", ".", "-", "é", "éé", "dumb", "h", "aaa", "ot", "(", "#", "''"]
+    own = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(3000)] + ["idiot", "stupid!!", "1d10t", "($tup1d)"]
+    distinct = pa.array([(t + " ").encode() for t in dict.fromkeys(own)], pa.large_binary())
+    found = {i for i, t in enumerate(distinct.to_pylist()) if rude.find(t[:-1].decode()) >= 0}
+    assert found and found <= set(rude.candidates(distinct).tolist())
