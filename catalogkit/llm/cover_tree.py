@@ -28,6 +28,8 @@ SAMPLE, MOST_CELLS, CELL_ROWS = 2048, 64, 8192
 LEVELS = 6
 TILE = 1024
 _CHUNK = 1 << 15
+#: What a product of unit vectors in single precision may be off by, and more.
+_SINGLE = 1e-4
 #: Distances come from rounded products; bounds keep this much apart from the threshold.
 SLACK = 1e-6
 
@@ -63,13 +65,13 @@ class Tree:
     its nodes; the children of a node are those from its first child to the next node's.
     """
 
-    def __init__(self, x: np.ndarray, order: np.ndarray | None = None, nodes: list | None = None):
-        self.order, self.nodes = (order, nodes) if nodes is not None else self._build(x)
+    def __init__(self, x: np.ndarray, widest: float, order: np.ndarray | None = None, nodes: list | None = None):
+        self.order, self.nodes = (order, nodes) if nodes is not None else self._build(x, widest)
         self.x = x[self.order] if order is None else x
 
     @staticmethod
-    def _build(x: np.ndarray) -> tuple[np.ndarray, list]:
-        chosen, radius = [0], 1.0
+    def _build(x: np.ndarray, widest: float) -> tuple[np.ndarray, list]:
+        chosen, radius = [0], widest
         near = x @ x[0]  # cosine to the nearest centre
         near[0] = 1
         nets = [np.array([0])]
@@ -123,6 +125,12 @@ class Tree:
         return first[nodes], last[nodes] - first[nodes]
 
 
+def _apart(xa: np.ndarray, i: np.ndarray, xb: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows."""
+    cos = [np.einsum("ij,ij->i", xa[i[k : k + _CHUNK]], xb[j[k : k + _CHUNK]]) for k in range(0, len(i), _CHUNK)]
+    return np.sqrt(np.maximum(2 - 2 * np.concatenate([np.zeros(0), *cos]), 0))
+
+
 def _reaching(xa, ra, xb, rb, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of nodes not farther apart than the limit and both radii, and their distance.
 
@@ -134,19 +142,24 @@ def _reaching(xa, ra, xb, rb, limit: float) -> tuple[np.ndarray, np.ndarray, np.
         for cols in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)):
             if not len(rows) or not len(cols):
                 continue
-            other, most = xb[cols].T, rb[cols].max()
+            other, most = xb[cols].astype(np.float32).T, rb[cols].max()
             for at in range(0, len(rows), TILE):
                 own = rows[at : at + TILE]
-                cos = xa[own] @ other
-                least = 1 - np.minimum(limit + ra[own] + most + SLACK, 2) ** 2 / 2
-                i, j = np.nonzero(cos >= least[:, None] - SLACK)
-                d = np.sqrt(np.maximum(2 - 2 * cos[i, j], 0))
+                # Single precision finds all that could reach; their distances are then taken in double.
+                least = 1 - np.minimum(limit + ra[own] + most + SLACK, 2) ** 2 / 2 - _SINGLE
+                i, j = np.nonzero(xa[own].astype(np.float32) @ other >= least[:, None].astype(np.float32))
                 i, j = own[i], cols[j]
+                d = _apart(xa, i, xb, j)
                 kept = d <= limit + ra[i] + rb[j] + SLACK
                 found.append((i[kept], j[kept], d[kept]))
     return tuple(np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
+def widest_net(threshold: float) -> float:
+    """Radius below the root: twice the distance of a link, as wider nodes hold too many strangers to be dropped whole."""
+    return 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
 def linked(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Links between two trees: rows (begin, end, begin, end) of ranges that link as a whole, and pairs of single vectors."""
     limit = np.sqrt(max(0.0, 2 - 2 * threshold))
@@ -159,20 +172,19 @@ def linked(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, tuple[np.nda
             (fi, ni), (fj, nj) = a.children(level - 1, i), b.children(level - 1, j)
             if (ni * nj).sum() > 0.05 * len(ca) * len(cb):
                 # Nearly all pairs are open: all are measured, those below closed pairs dropped.
-                open_ = np.zeros((len(ca), len(cb)), bool)
-                for p, n, q, m in zip(fi.tolist(), ni.tolist(), fj.tolist(), nj.tolist()):
-                    open_[p : p + n, q : q + m] = True
+                spans = list(zip(fi.tolist(), ni.tolist(), fj.tolist(), nj.tolist()))
                 i, j, d = _reaching(a.x[ca], ra, b.x[cb], rb, limit)
-                kept = open_[i, j]
-                i, j, d = i[kept], j[kept], d[kept]
+                if len(spans) > 1:
+                    open_ = np.zeros((len(ca), len(cb)), bool)
+                    for p, n, q, m in spans:
+                        open_[p : p + n, q : q + m] = True
+                    kept = open_[i, j]
+                    i, j, d = i[kept], j[kept], d[kept]
             else:
                 pair = np.repeat(np.arange(len(i)), ni * nj)
                 place = np.arange(len(pair)) - np.repeat(np.cumsum(ni * nj) - ni * nj, ni * nj)
                 i, j = fi[pair] + place // nj[pair], fj[pair] + place % nj[pair]
-                d = np.concatenate([np.zeros(0), *[
-                    np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x[ca[i[k : k + _CHUNK]]], b.x[cb[j[k : k + _CHUNK]]]), 0))
-                    for k in range(0, len(i), _CHUNK)
-                ]])
+                d = _apart(a.x, ca[i], b.x, cb[j])
                 kept = d <= limit + ra[i] + rb[j] + SLACK
                 i, j, d = i[kept], j[kept], d[kept]
         else:
@@ -200,10 +212,10 @@ def linked(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, tuple[np.nda
 _BLOCK = "size int, cell int, part int, rep array<long>, copies array<long>, vectors binary, sizes array<int>, nodes binary, radii binary"
 
 
-def _stored(table: pa.Table, kind: str) -> pa.Table:
+def _stored(table: pa.Table, kind: str, threshold: float) -> pa.Table:
     """A block with its tree, from the rows of the block."""
     raw = table.column("vector").to_pylist()
-    tree = Tree(unit(raw, kind))
+    tree = Tree(unit(raw, kind), widest_net(threshold))
     order = tree.order.tolist()
     nodes = np.concatenate([np.stack([n[0], n[1], n[2], n[4]]) for n in tree.nodes], axis=1)
     return pa.table(
@@ -226,7 +238,7 @@ def _restored(row: dict, kind: str) -> tuple[Tree, np.ndarray, np.ndarray]:
         centre, begin, end, child = whole[:, at : at + n]
         nodes.append((centre, begin, end, radii[at : at + n], child))
         at += n
-    return Tree(x, np.arange(len(x)), nodes), np.array(row["rep"], np.int64), np.array(row["copies"], np.int64)
+    return Tree(x, 0.0, np.arange(len(x)), nodes), np.array(row["rep"], np.int64), np.array(row["copies"], np.int64)
 
 
 def _settle(blocks: list[dict], kind: str, threshold: float) -> dict:
@@ -326,7 +338,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     )
     chosen = parted.select("size", "cell", "part", "rep", "copies", "vector").groupBy("size", "cell", "part")
     # Trees are built once and meet every block that they may have links with.
-    blocks = chosen.applyInArrow(lambda table: _stored(table, kind), _BLOCK)
+    blocks = chosen.applyInArrow(lambda table: _stored(table, kind, threshold), _BLOCK)
     carried = ["rep", "copies", "vectors", "sizes", "nodes", "radii"]
     own = F.struct("cell", "part")
     partner = F.explode(F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0), m["parts"] - 1), lambda q: F.struct(m["cell"].alias("cell"), q.alias("part"))))))

@@ -42,7 +42,7 @@ def test_against_brute_force(spark, monkeypatch, block, cell):
 def test_a_crowd_is_settled_by_ranges():
     rng = np.random.default_rng(2)
     x = cover_tree.scaled(rng.normal(size=8) + rng.normal(size=(2000, 8)) * 0.01)
-    tree = cover_tree.Tree(x)
+    tree = cover_tree.Tree(x, cover_tree.widest_net(0.9))
     ranges, (left, _) = cover_tree.linked(tree, tree, 0.9)
     assert len(left) == 0 and sum((q - p) * (s - r) for p, q, r, s in ranges.tolist()) == 2000 * 2000
     assert len(ranges) < 50
