@@ -31,7 +31,7 @@ WINDOW = 13
 MINIMISER = 3
 #: A longer run of windows (a word repeated over and over) is cut; its parts share the bucket.
 MOST_WINDOWS = 64
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 4
 #: Compression of what moves.
 LEVEL = 6
 _LAST = np.iinfo(np.int64).max
@@ -150,7 +150,7 @@ def _answer(rows: list[tuple], window: int):
         base, rest = int(data[:8].view(np.int64)[0]), data[8:]
         low, high = (np.cumsum(rest[a * n : (a + 8) * n].view(np.int64)) for a in (0, 8))
         parts.append((block, base, n, low, high, rest[16 * n : 17 * n], rest[17 * n :]))
-    del rows
+    rows.clear()
     low, high, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
     data = np.concatenate([p[6] for p in parts])
     where = [p[:3] for p in parts]
@@ -195,6 +195,7 @@ def _settle(batches, window: int):
         if held:
             out = list(_answer(held, window))
             held.clear()
+            pa.default_memory_pool().release_unused()
             if out:
                 block, n, raw, body = zip(*out)
                 yield pa.RecordBatch.from_arrays(
