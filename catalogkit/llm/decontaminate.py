@@ -18,7 +18,23 @@ from catalogkit.session import cut_lineage
 
 from . import texts
 
-MASKS = ("111101111", "1110111011", "110110110011")
+#: Any 13 or more aligned tokens of which 80 % are equal hold one of these.
+LONG_MASKS = (
+    "11110111", "110100010111", "11101001011", "1100110011001", "1100011001011", "1110010001101", "1111111",
+)
+#: By the number of tokens of a shorter item: any way to change a fifth of them leaves one of these.
+SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",),
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
+}
+MASKS = tuple(dict.fromkeys([*LONG_MASKS, *(m for own in SHORT_MASKS.values() for m in own)]))
 MIN_WORDS = 13
 MIN_EQUAL = 0.8
 #: Tokens on either side of a hit that are compared.
@@ -65,16 +81,33 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return made.select(F.xxhash64("words").alias("key"), "item_id", "words")
 
 
-def benchmark_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """``(hash, key, item_at)`` of every mask at every token of the distinct items."""
+def fitting_masks(items: DataFrame, masks: tuple[str, ...] = LONG_MASKS) -> dict[str, set[int]]:
+    """Masks with the item lengths that they stand for; 0 is any length outside ``SHORT_MASKS``.
+
+    Masks of lengths that no item has are left out, so they cost nothing.
+    """
+    length = F.size(F.split("words", " "))
+    out = {mask: {0} for mask in masks}
+    for row in items.select(length.alias("n")).filter(F.col("n").isin(list(SHORT_MASKS))).distinct().collect():
+        for mask in SHORT_MASKS[row["n"]]:
+            out.setdefault(mask, set()).add(row["n"])
+    return out
+
+
+def benchmark_seeds(items: DataFrame, masks: dict[str, set[int]]) -> DataFrame:
+    """``(hash, key, item_at)`` of every mask at every token of the distinct items that it stands for."""
 
     def run(batches):
         for batch in batches:
             words = tokens(batch.column("words"))
             keys, found = batch.column("key").to_numpy(), []
-            for hashes, span in seeds(words, masks):
+            length = np.diff(words.first)
+            length[~np.isin(length, list(SHORT_MASKS))] = 0
+            for (hashes, span), own in zip(seeds(words, tuple(masks)), masks.values()):
                 at = whole(words, np.arange(len(hashes)), span)
                 text = np.searchsorted(words.first, at, "right") - 1
+                at = at[np.isin(length[text], list(own))]
+                text = np.searchsorted(words.first, at, "right") - 1
                 found.append((hashes[at].view(np.int64), keys[text], at - words.first[text]))
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], ["hash", "key", "item_at"])
 
@@ -160,7 +193,7 @@ def longest_overlap(equal: np.ndarray, share: float) -> tuple[int, int]:
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
-    masks: tuple[str, ...] = MASKS,
+    masks: tuple[str, ...] = LONG_MASKS,
     min_words: int = MIN_WORDS,
     min_equal: float = MIN_EQUAL,
     reach: int = REACH,
@@ -168,9 +201,11 @@ def overlaps(
     """``(doc_id, item_id, n_words, n_equal, doc_start)``: the longest overlap of each contaminated pair.
 
     Tokens are lower-case runs of letters and digits. An overlap aligns at least ``min_words``
-    tokens (all of a shorter item) of which ``min_equal`` are equal, and holds a mask's span
-    of a hit or lies within ``reach`` tokens of it. Items shorter than the shortest mask
-    can't be told from chance and never match. Null and empty texts match nothing; null ids
+    tokens (all of a shorter item) of which ``min_equal`` are equal; it is measured within
+    ``reach`` tokens of a hit. The given masks hit every overlap of 13 or more words and every
+    whole shorter item at 80 %; other ``min_words``, ``min_equal`` or ``masks`` may lose some. An
+    item of one word matches wherever that word stands. Text written without blanks is one token
+    between ASCII signs, so such an item matches only as the whole of one. Null and empty texts match nothing; null ids
     are shown as null; repeated documents and items give each pair of ids once. A document
     without an overlap has no row. Other columns are ignored.
 
@@ -179,9 +214,10 @@ def overlaps(
     """
     spark = docs.sparkSession
     items = cut_lineage(benchmark_items(benchmark))
-    made = cut_lineage(benchmark_seeds(items, masks))
+    picked = fitting_masks(items, masks)
+    made = cut_lineage(benchmark_seeds(items, picked))
     filled = spark.sparkContext.broadcast(seed_filter(made))
-    segments = cut_lineage(_segments(docs, filled, masks, reach))
+    segments = cut_lineage(_segments(docs, filled, tuple(picked), reach))
     met = (
         segments.select("segment", F.explode("hits").alias("h"))
         .select("segment", "h.*")
