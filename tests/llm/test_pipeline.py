@@ -89,5 +89,5 @@ def test_no_documents(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted({int(name[2:].split("_")[0]) for name in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(name[2:].split("_")[0]) for name in queries.QUERIES}) == list(range(1, 14))
     assert {ranking.THRESHOLD, simhash.SHINGLE_WORDS, substrings.WINDOW, decontaminate.MIN_WORDS} == {0.3, 4, 13}
