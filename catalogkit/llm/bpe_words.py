@@ -1,8 +1,8 @@
 """Encoding and decoding of whole texts through a table of distinct words.
 
 Texts are split into words in Spark tasks. A block of texts keeps its words' places and sends each
-distinct word once to the word table, where a word of the whole corpus is encoded once and
-decoded by a join with the pieces of the vocabulary. The answers come back to the places of the block.
+distinct word once to the word table, where a word of the whole corpus is encoded once. The ids
+come back to the places of the block and meet the pieces of the vocabulary there, by id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from hashlib import blake2b, sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
@@ -140,52 +140,62 @@ def block_places(docs: DataFrame) -> DataFrame:
     return _given(docs).mapInArrow(run, "block long, doc_ids array<long>, counts array<long>, n_words int, spots binary")
 
 
-def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(id, piece)`` of a vocabulary, added tokens included."""
+def _tokenizer(vocabulary: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    known = Tokenizer.from_file(vocabulary_path(vocabulary)).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, piece) for piece, i in known.items()], "id int, piece string")
+    own = Tokenizer.from_file(vocabulary_path(vocabulary))
+    own.no_truncation()
+    own.no_padding()
+    return own
 
 
-def _encoder(vocabulary: str):
-    """An Arrow function from words to their ids; a worker builds the tokenizer once."""
-    held = {}
+def pieces(vocabulary: str = VOCABULARY) -> pa.Array:
+    """The piece of every id, added tokens included, closed by a blank; as many as the vocabulary has."""
+    known = _tokenizer(vocabulary).get_vocab(with_added_tokens=True)
+    by_id = [""] * (max(known.values()) + 1)
+    for piece, i in known.items():
+        by_id[i] = piece + " "
+    return pa.array(by_id, pa.large_string())
 
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        if not held:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
 
-            held["own"] = Tokenizer.from_file(vocabulary_path(vocabulary))
-            held["own"].no_truncation()
-            held["own"].no_padding()
-        found = held["own"].encode_batch_fast(words.to_pylist(), add_special_tokens=False)
-        return pa.array([x.ids for x in found], pa.list_(pa.int32()))
+def word_table(places: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(block, slot, word, ids)``: every distinct word of all blocks encoded once, for each block that has it.
 
-    return encode
+    Words are dealt by their hash and sorted, so equal ones stream by in a row: nothing is held for a
+    word, however many blocks have it.
+    """
+
+    def run(batches):
+        tokenizer, last = _tokenizer(vocabulary), (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("word").dictionary_encode()
+            words, known = own.dictionary.to_pylist(), int(own.dictionary[0].as_py() == last[0])
+            found = [last[1]] * known + [x.ids for x in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False)]
+            last = (words[-1], found[-1])
+            ids = pa.array(found, pa.list_(pa.int32())).take(own.indices)
+            yield pa.record_batch([*(batch.column(c) for c in ("block", "slot", "word")), ids], ["block", "slot", "word", "ids"])
 
+    dealt = places.select("block", "slot", "word").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "block long, slot int, word string, ids array<int>")
 
-def word_table(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(word, ids, decoded)``: each distinct word encoded once, and its ids decoded; both blank-joined text.
 
-    The pieces are as many as the vocabulary has, so they are broadcast. Words stay where the
-    grouping put them: nothing after it is shuffled.
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows of ``encoded`` with ``decoded``, the pieces of ``ids`` in order with a blank between them; null ids give null.
+
+    An id joins its piece by its place in the vocabulary, whose size bounds what a task holds.
     """
-    own = words.select("word").distinct().withColumn("ids", _encoder(vocabulary)("word"))
-    parts = own.select("word", F.posexplode_outer("ids").alias("at", "id"))
-    found = parts.join(F.broadcast(pieces(words.sparkSession, vocabulary)), "id", "left")
-    row = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
-    return found.groupBy("word").agg(row.alias("row")).select(
-        "word", F.array_join(F.col("row.id").cast("array<string>"), " ").alias("ids"), F.array_join("row.piece", " ").alias("decoded"))
 
+    @F.arrow_udf("string")
+    def joined(ids: pa.Array) -> pa.Array:
+        own = ids.flatten()
+        cuts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        found = [bytes(x).decode() for x in _joined(pieces(vocabulary), own.to_numpy(zero_copy_only=False), cuts)]
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), pa.array(found, pa.string()))
 
-def _closed(column: pa.ChunkedArray, order: np.ndarray) -> pa.Array:
-    """Texts in order, each that is not empty closed by a blank."""
-    own = column.combine_chunks().cast(pa.large_string()).take(pa.array(order))
-    blank = pc.if_else(pc.equal(own, ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
-    return pc.binary_join_element_wise(own, blank, pa.scalar("", pa.large_string()))
+    return encoded.withColumn("decoded", joined("ids"))
 
 
 def _joined(own: pa.Array, numbers: np.ndarray, edges: np.ndarray):
@@ -197,12 +207,22 @@ def _joined(own: pa.Array, numbers: np.ndarray, edges: np.ndarray):
     return [view[a : max(a, b - 1)] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _answers(places: pa.Table, words: pa.Table, kept_texts: bool) -> pa.Table:
-    """Rows of a block's documents from the answers for its words."""
-    slots = words.column("slot").to_numpy()
-    known, order = np.unique(slots, return_index=True)
-    ids, decoded = _closed(words.column("ids"), order), _closed(words.column("decoded"), order)
-    n_ids = pc.count_substring(ids, " ").to_numpy(zero_copy_only=False).astype(np.int64)
+def _worded(tokens: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Tokens of each word, one after another, as one text a word."""
+    taken = tokens.take(pa.array(ids))
+    _, offsets, data = taken.buffers()
+    edges = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][cuts]
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(edges)), data)
+
+
+def _answers(places: pa.Table, words: pa.Table, tokens: pa.Array, kept_texts: bool) -> pa.Table:
+    """Rows of a block's documents from the ids of its words."""
+    known, order = np.unique(words.column("slot").to_numpy(), return_index=True)
+    own = words.column("ids").combine_chunks().take(pa.array(order))
+    n_ids = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, cuts = own.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n_ids))
+    decimals = pa.array([f"{i} " for i in range(len(tokens))], pa.large_string())
+    ids, decoded = _worded(decimals, flat, cuts), _worded(tokens, flat, cuts)
     rows: list[list] = [[], [], [], [], []]
     for row in places.to_pylist():
         if len(known) != row["n_words"]:
@@ -236,13 +256,11 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, kept_texts: bool =
     ``docs`` is read twice and must give the same rows in the same order, as a written table does;
     where it doesn't, an error says so. A block is bounded, or one text: memory follows the longest.
     """
-    places = word_places(docs)
-    table = word_table(places, vocabulary)
-    # The plan can't know how many words a text has, so it must not take their table for a small one.
-    answers = places.join(table.hint("merge"), "word").select("block", "slot", "ids", "decoded")
+    encoded = word_table(word_places(docs), vocabulary).select("block", "slot", "ids")
+    tokens = pieces(vocabulary)
 
     def run(key, left, right):
-        return _answers(left, right, kept_texts)
+        return _answers(left, right, tokens, kept_texts)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * kept_texts
-    return block_places(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return block_places(docs).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)

@@ -57,18 +57,28 @@ def test_no_documents(documents):
     assert bpe_words.round_trip(documents([])).count() == 0
 
 
-def test_each_word_is_encoded_once(spark, documents, monkeypatch):
+def test_each_word_is_encoded_once(spark, documents, tokenizer, monkeypatch):
+    """Equal words of all blocks come by in a row, also over the ends of batches."""
     monkeypatch.setattr(bpe_words, "BLOCK_BYTES", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     docs = documents([(i, "one two two, three") for i in range(20)])
-    places = bpe_words.word_places(docs)
-    table = bpe_words.word_table(places).collect()
-    assert sorted(r.word for r in table) == [",", "one", "three", "two"]
-    assert places.count() > 4
+    table = bpe_words.word_table(bpe_words.word_places(docs)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(table) == 4 * len({r.block for r in table}) > 4
+    assert {(r.word, tuple(r.ids)) for r in table} == {
+        (w, tuple(tokenizer.encode(w, add_special_tokens=False).ids)) for w in ("one", "two", ",", "three")}
 
 
-def test_changed_order_is_an_error(spark):
+def test_decode(spark, tokenizer):
+    rows = [(1, tokenizer.encode(t, add_special_tokens=False).ids, "x") for t in strange(50)] + [(2, None, "y"), (3, [], "z")]
+    got = bpe_words.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string").repartition(2)).collect()
+    assert len(got) == len(rows)
+    assert all(r.decoded == (None if r.ids is None else tokenizer.decode(r.ids, skip_special_tokens=False)) for r in got)
+
+
+def test_changed_order_is_an_error():
     """Answers for other words than a block has are never taken."""
     places = pa.table({"block": [1], "doc_ids": [[1]], "counts": [[2]], "n_words": [2], "spots": [bpe_words._pack(bpe_words.np.array([0, 1], "u4"))]})
-    words = pa.table({"block": [1], "slot": pa.array([0], pa.int32()), "ids": ["5"], "decoded": ["x</w>"]})
+    words = pa.table({"block": [1], "slot": pa.array([0], pa.int32()), "ids": pa.array([[5]], pa.list_(pa.int32()))})
     with pytest.raises(ValueError, match="another order"):
-        bpe_words._answers(places, words, False)
+        bpe_words._answers(places, words, bpe_words.pieces(), False)
