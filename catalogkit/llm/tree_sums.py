@@ -23,6 +23,8 @@ from .sweeps import batched, in_order, runs
 
 #: Weight, so at most nodes, of a component that one task decomposes.
 MOST_LOCAL = 1 << 14
+#: Heavier components than this are joined to their nodes by a shuffle, fewer are sent to every task.
+MOST_SENT = 1 << 16
 
 
 def local_sums(parents: list[int], values: list[tuple[int, ...]]) -> list[list[int]]:
@@ -90,20 +92,22 @@ def subtree_sums(nodes: DataFrame, steps: DataFrame, values: list[str], most: in
     steps = steps.select("line", F.col("depth").alias("at"), F.col("id").alias("step"), F.col("parent").alias("above"))
     while True:
         totals = cut_lineage(state.groupBy("part").agg(F.max("weight").alias("total")).filter(F.col("total") > most))
-        if totals.isEmpty():
+        n = totals.count()
+        if not n:
             break
-        ready.append(state.join(totals, "part", "left_anti").select(columns))
-        state = state.join(totals, "part")
+        few = F.broadcast if n <= MOST_SENT else (lambda df: df)
+        ready.append(state.join(few(totals), "part", "left_anti").select(columns))
+        state = state.join(few(totals), "part")
         heavy = state.filter(2 * F.col("weight") > F.col("total"))
         cut = F.min_by(F.struct("id", "depth", "weight"), "weight")
         centroids = cut_lineage(heavy.groupBy("part").agg(cut.alias("cut")).select(
             "part", F.col("cut.id").alias("cut"), F.col("cut.depth").alias("cut_depth"), F.col("cut.weight").alias("cut_weight")))
-        state = state.join(centroids, "part")
+        state = state.join(few(centroids), "part")
         deep = state.filter("depth > cut_depth").withColumn("at", F.col("cut_depth") + 1)
         deep = deep.join(steps, ["line", "at"]).withColumn("under", F.when(F.col("above") == F.col("cut"), F.col("step"))).drop("at", "step", "above")
         side = cut_lineage(deep.unionByName(state.filter("depth <= cut_depth").withColumn("under", F.lit(None).cast("string"))))
         below = side.filter("under is not null or id = cut").groupBy("part").agg(*[F.sum(v).alias(f"+{v}") for v in values])
-        side = side.join(cut_lineage(below), "part")
+        side = side.join(few(cut_lineage(below)), "part")
         over = F.col("under").isNull() & (2 * F.col("weight") > F.col("total"))
         side = side.withColumns({f"_{v}": F.col(f"_{v}") + F.when(over, F.col(f"+{v}")).otherwise(0) for v in values}).withColumns({
             "weight": F.when(over & (F.col("id") != F.col("cut")), F.col("weight") - F.col("cut_weight")).otherwise(F.col("weight")),
