@@ -21,7 +21,7 @@ from .token_counts import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Text of a block, up to one more text; larger blocks send a word less often.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Text that is split at once.
 SLICE_BYTES = 4 << 20
 
@@ -94,8 +94,10 @@ def _blocks(batches):
         if size >= BLOCK_BYTES:
             yield _merged(held)
             held, size = [], 0
+            texts.settle()
     if held:
         yield _merged(held)
+    texts.settle()
 
 
 _CODEC = "zstd"
@@ -120,10 +122,11 @@ def word_places(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for name, _, words, _, _ in _blocks(batches):
+            # In order, words share their beginnings with those before, which shuffles compress.
+            slots = pc.sort_indices(words).cast(pa.int32())
             for start in range(0, len(words), 1 << 16):
-                own = words.slice(start, 1 << 16).cast(pa.string())
-                slots = pa.array(np.arange(start, start + len(own), dtype=np.int32))
-                yield pa.record_batch([pa.repeat(pa.scalar(name), len(own)), slots, own], ["block", "slot", "word"])
+                own = slots.slice(start, 1 << 16)
+                yield pa.record_batch([pa.repeat(pa.scalar(name), len(own)), own, words.take(own).cast(pa.string())], ["block", "slot", "word"])
 
     return _given(docs).mapInArrow(run, "block long, slot int, word string")
 
@@ -162,7 +165,7 @@ def pieces(vocabulary: str = VOCABULARY) -> pa.Array:
 def word_table(places: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(block, slot, word, ids)``: every distinct word of all blocks encoded once, for each block that has it.
 
-    Words are dealt by their hash and sorted, so equal ones stream by in a row: nothing is held for a
+    ``ids`` are packed as 32-bit little-endian numbers. Words are dealt by their hash and sorted, so equal ones stream by in a row: nothing is held for a
     word, however many blocks have it.
     """
 
@@ -175,11 +178,11 @@ def word_table(places: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             words, known = own.dictionary.to_pylist(), int(own.dictionary[0].as_py() == last[0])
             found = [last[1]] * known + [x.ids for x in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False)]
             last = (words[-1], found[-1])
-            ids = pa.array(found, pa.list_(pa.int32())).take(own.indices)
+            ids = pa.array([np.array(x, "<u4").tobytes() for x in found], pa.binary()).take(own.indices)
             yield pa.record_batch([*(batch.column(c) for c in ("block", "slot", "word")), ids], ["block", "slot", "word", "ids"])
 
     dealt = places.select("block", "slot", "word").repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block long, slot int, word string, ids array<int>")
+    return dealt.mapInArrow(run, "block long, slot int, word string, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -200,7 +203,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def _joined(own: pa.Array, numbers: np.ndarray, edges: np.ndarray):
     """Bytes of the answers at places ``edges[k]`` to ``edges[k + 1]``, without the last blank."""
-    taken = own.take(pa.array(numbers.astype(np.int64)))
+    taken = own.take(pa.array(numbers))
     _, offsets, data = taken.buffers()
     cuts = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][edges]
     view = memoryview(data) if data is not None else memoryview(b"")
@@ -218,9 +221,9 @@ def _worded(tokens: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
 def _answers(places: pa.Table, words: pa.Table, tokens: pa.Array, kept_texts: bool) -> pa.Table:
     """Rows of a block's documents from the ids of its words."""
     known, order = np.unique(words.column("slot").to_numpy(), return_index=True)
-    own = words.column("ids").combine_chunks().take(pa.array(order))
-    n_ids = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, cuts = own.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n_ids))
+    own = words.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+    n_ids = pc.binary_length(own).to_numpy(zero_copy_only=False) // 4
+    flat, cuts = texts.raw_bytes(own).view("<u4"), np.append(0, np.cumsum(n_ids))
     decimals = pa.array([f"{i} " for i in range(len(tokens))], pa.large_string())
     ids, decoded = _worded(decimals, flat, cuts), _worded(tokens, flat, cuts)
     rows: list[list] = [[], [], [], [], []]
@@ -229,17 +232,17 @@ def _answers(places: pa.Table, words: pa.Table, tokens: pa.Array, kept_texts: bo
             raise ValueError("the documents came in another order when they were read again")
         edges = np.append(0, np.cumsum(row["counts"])).astype(np.int64)
         numbers = _unpack(row["spots"], int(edges[-1]))
-        total = np.append(0, np.cumsum(n_ids[numbers]))
         rows[0] += row["doc_ids"]
-        rows[1] += np.diff(total[edges]).tolist()
-        for column, own in ((2, ids), (3, decoded)):
-            # A run of documents at a time bounds the bytes that are laid out.
-            for a in range(0, len(row["doc_ids"]), 256):
-                b = min(a + 256, len(row["doc_ids"]))
-                found = _joined(own, numbers[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
-                rows[column] += [sha256(x).hexdigest() for x in found]
-                if kept_texts and column == 3:
-                    rows[4] += [bytes(x).decode() for x in found]
+        # A run of documents at a time bounds the bytes that are laid out.
+        for a in range(0, len(row["doc_ids"]), 256):
+            here = edges[a : a + 257] - edges[a]
+            run = numbers[edges[a] : edges[a] + here[-1]]
+            rows[1] += np.diff(np.append(0, np.cumsum(n_ids[run]))[here]).tolist()
+            rows[2] += [sha256(x).hexdigest() for x in _joined(ids, run, here)]
+            found = _joined(decoded, run, here)
+            rows[3] += [sha256(x).hexdigest() for x in found]
+            if kept_texts:
+                rows[4] += [bytes(x).decode() for x in found]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"][: 5 if kept_texts else 4]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     return pa.table([pa.array(r, t) for r, t in zip(rows, kinds[: len(names)])], names=names)
@@ -260,7 +263,9 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, kept_texts: bool =
     tokens = pieces(vocabulary)
 
     def run(key, left, right):
-        return _answers(left, right, tokens, kept_texts)
+        answers = _answers(left, right, tokens, kept_texts)
+        texts.settle()
+        return answers
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * kept_texts
     return block_places(docs).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)

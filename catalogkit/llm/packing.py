@@ -168,5 +168,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
             yield packer.drain()
         packer.pack(last=True)
         yield packer.drain()
+        encoder.forget()
+        texts.settle()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)

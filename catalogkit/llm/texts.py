@@ -5,6 +5,8 @@ Everything here runs inside Arrow tasks and works on the buffers of a batch at o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -128,6 +130,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def raw_bytes(values: pa.Array) -> np.ndarray:
+    """Bytes of a large binary array without nulls, one value after another."""
+    _, offsets, data = values.buffers()
+    places = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else [0, 0]
+    return np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def settle() -> None:
+    """Give what Arrow and numpy have freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of values, by differences of one running sum."""
     total = np.zeros(len(values) + 1, np.uint64)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 BATCH_BYTES = 16 << 10
 SLICE_BYTES = 4 << 20
-#: Pieces an encoder remembers before it starts anew.
-MOST_PIECES = 3 << 18
+#: Pieces an encoder remembers before it starts anew, some 150 bytes each.
+MOST_PIECES = 1 << 19
 
 
 def safe_pieces(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,20 +43,30 @@ def maybe_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return white | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
 
 
-class PieceEncoder:
-    """Ids of pieces of text; a distinct piece is encoded once and remembered."""
+def loaded(path: str) -> tuple:
+    """The tokenizer of a file and the bytes of each of its ids, made once by a worker for all of its tasks.
 
-    def __init__(self, path: str, closing: int | None = None):
+    Functions travel to tasks by value, so a variable of this module would be new in each task.
+    """
+    held = sys.modules.setdefault("_catalogkit_worker", types.ModuleType("_catalogkit_worker")).__dict__
+    if path not in held:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.closing = Tokenizer.from_file(path), closing
+        own = Tokenizer.from_file(path)
         # A byte-level token has one character per byte; added tokens stand for themselves.
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes[i] = added.get(i, len(token))
+        added = {i: len(t.content.encode()) for i, t in own.get_added_tokens_decoder().items()}
+        n = own.get_vocab_size(with_added_tokens=True)
+        ids = range(max([n - 1, *added]) + 1)
+        held[path] = own, np.array([added[i] if i in added else len(own.id_to_token(i) or "") for i in ids], np.int64)
+    return held[path]
+
+
+class PieceEncoder:
+    """Ids of pieces of text; a distinct piece is encoded once and remembered."""
+
+    def __init__(self, path: str, closing: int | None = None):
+        (self.tokenizer, self.bytes), self.closing = loaded(path), closing
         self.forget()
 
     def forget(self) -> None:
@@ -129,6 +141,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
             tokens = np.diff(np.append(0, np.cumsum(own))[np.append(0, np.cumsum(pieces))])
             columns = [batch.column("doc_id"), pa.array(np.diff(places), pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit)]
             yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        encoder.forget()
+        texts.settle()
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return given.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

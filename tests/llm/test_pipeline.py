@@ -1,9 +1,10 @@
 import random
+import re
 
 import corpus_pipeline
 from catalogkit.llm import decontaminate, packing, queries, ranking, simhash, substrings
 
-from .test_substrings import brute
+from .test_substrings import WORD, brute
 
 
 def corpus(spark, folder):
@@ -26,6 +27,9 @@ def corpus(spark, folder):
             text = prose(rng.randint(30, 90))
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, int(i % 5 != 0), 0))
+    rows += [(400, prose(60) + " " + item, "en", "s", 0), (400, prose(60), "en", "s", 0), (None, prose(50) + " " + item, "en", "s", 0)]
+    near = prose(120).split()
+    rows += [(500 + k, " ".join(near[:k] + near[k + 1 :]), "en", "s", 0) for k in (0, 60, 119)]
     rows += [(None, "No id here. " + prose(40), None, None, None), (300, None, "en", "s", 0), (301, "", "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -33,6 +37,25 @@ def corpus(spark, folder):
     return item
 
 
+def near_dropped(rows):
+    """Rows but those whose text reaches, by shingle similarities of 0.8, one with a smaller id; rows without an id stay."""
+    def shingles(text):
+        words = re.findall(r"[^ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1))))
+
+    own = sorted({r for r in rows if r[0] is not None}, key=repr)
+    sets, group = [shingles(t) for _, t in own], list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = {}
+    for (i, t), g in zip(own, group):
+        kept[g] = min(kept.get(g, (i, t)), (i, t), key=lambda r: r[0])
+    return [*kept.values(), *(r for r in rows if r[0] is None)]
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -57,20 +80,25 @@ def test_stages(spark, tmp_path):
     assert all((i in kept) == (i % 5 != 0) for i in range(200)) and None in kept
 
     before, after = seen[1]
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(before.filter("doc_id is not null")).collect()}
-    assert {r.doc_id for r in after.collect()} == {i for i, c in groups.items() if i == c} | {None}
+    given = [(r.doc_id, r.text) for r in before.collect()]
+    assert sorted(((r.doc_id, r.text) for r in after.collect()), key=repr) == sorted(near_dropped(given), key=repr)
+    assert {500, 560, 619} & {r.doc_id for r in after.collect()} == {500}
 
     before, after = seen[2]
-    words = {i: (n, gone, kept) for i, n, gone, kept, _ in brute([(r.doc_id, r.text) for r in before.collect()])}
-    expected = sorted(
-        ((r.doc_id, words[r.doc_id][2] if words[r.doc_id][1] else r.text) for r in before.collect() if not 0 < words[r.doc_id][0] == words[r.doc_id][1]), key=repr)
+    words = {(i, n): (gone, kept) for i, n, gone, kept, _ in brute([(r.doc_id, r.text) for r in before.collect()])}
+    assert len(words) == before.count()
+    expected = []
+    for r in before.collect():
+        n = len(WORD.findall((r.text or "").encode()))
+        gone, kept = words[r.doc_id, n]
+        expected += [] if 0 < n == gone else [(r.doc_id, kept if gone else r.text)]
+    expected.sort(key=repr)
     assert sorted(((r.doc_id, r.text) for r in after.collect()), key=repr) == expected
-    assert any(w[1] for w in words.values())
+    assert any(gone for gone, _ in words.values())
 
     before, after = seen[3]
-    gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()}
-    assert gone and all(item in r.text.lower() for r in before.collect() if r.doc_id in gone)
-    assert not any(item in (r.text or "").lower() for r in after.collect())
+    clean = [(r.doc_id, r.text) for r in before.collect() if item not in (r.text or "").lower()]
+    assert sorted(((r.doc_id, r.text) for r in after.collect()), key=repr) == sorted(clean, key=repr)
 
     before, after = seen[4]
     assert rows_of(after.select("doc_id", "doc_tokens").distinct()) == rows_of(packing.pack(before).select("doc_id", "doc_tokens").distinct())
@@ -80,6 +108,14 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_decontamination_judges_rows(spark, tmp_path):
+    """Rows that share an id, or have none, stay or go by their own text."""
+    item = corpus(spark, str(tmp_path))
+    docs = spark.createDataFrame([(7, "clean"), (7, item), (None, "clean"), (None, item), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and rows_of(kept) == sorted([(7, "clean"), (None, "clean"), (None, None)], key=repr)
+
+
 def test_no_documents(spark, tmp_path):
     folder = str(tmp_path)
     corpus(spark, folder)
