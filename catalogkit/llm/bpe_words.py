@@ -162,13 +162,20 @@ def pieces(vocabulary: str = VOCABULARY) -> pa.Array:
     return pa.array(by_id, pa.large_string())
 
 
+def id_kind(n: int) -> str:
+    """How an id of ``n`` is packed."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def word_table(places: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(block, slot, word, ids)``: every distinct word of all blocks encoded once, for each block that has it.
 
-    ``ids`` are packed as 32-bit little-endian numbers. Words are dealt by their hash and sorted, so equal ones stream by in a row: nothing is held for a
+    ``ids`` are packed as little-endian numbers, of 16 bits where the vocabulary allows it. Words are dealt by their hash and sorted, so equal ones stream by in a row: nothing is held for a
     word, however many blocks have it.
     """
 
+    kind = id_kind(len(pieces(vocabulary)))
+
     def run(batches):
         tokenizer, last = _tokenizer(vocabulary), (None, None)
         for batch in batches:
@@ -178,7 +185,7 @@ def word_table(places: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             words, known = own.dictionary.to_pylist(), int(own.dictionary[0].as_py() == last[0])
             found = [last[1]] * known + [x.ids for x in tokenizer.encode_batch_fast(words[known:], add_special_tokens=False)]
             last = (words[-1], found[-1])
-            ids = pa.array([np.array(x, "<u4").tobytes() for x in found], pa.binary()).take(own.indices)
+            ids = pa.array([np.array(x, kind).tobytes() for x in found], pa.binary()).take(own.indices)
             yield pa.record_batch([*(batch.column(c) for c in ("block", "slot", "word")), ids], ["block", "slot", "word", "ids"])
 
     dealt = places.select("block", "slot", "word").repartition("word").sortWithinPartitions("word")
@@ -222,8 +229,9 @@ def _answers(places: pa.Table, words: pa.Table, tokens: pa.Array, kept_texts: bo
     """Rows of a block's documents from the ids of its words."""
     known, order = np.unique(words.column("slot").to_numpy(), return_index=True)
     own = words.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    n_ids = pc.binary_length(own).to_numpy(zero_copy_only=False) // 4
-    flat, cuts = texts.raw_bytes(own).view("<u4"), np.append(0, np.cumsum(n_ids))
+    kind = np.dtype(id_kind(len(tokens)))
+    n_ids = pc.binary_length(own).to_numpy(zero_copy_only=False) // kind.itemsize
+    flat, cuts = texts.raw_bytes(own).view(kind), np.append(0, np.cumsum(n_ids))
     decimals = pa.array([f"{i} " for i in range(len(tokens))], pa.large_string())
     ids, decoded = _worded(decimals, flat, cuts), _worded(tokens, flat, cuts)
     rows: list[list] = [[], [], [], [], []]
