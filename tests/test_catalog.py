@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from catalogkit.operators import catalog, containment
@@ -88,6 +91,24 @@ def test_containment_like_nested_loop(spark):
     assert got == {t for t in texts if any(k and (k in t or t in k) for k in keys)}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_occurrences_like_nested_loop(spark, monkeypatch, seed):
+    """Every pattern in every text, over slices, few count slots, common beginnings and all lengths."""
+    monkeypatch.setattr(containment, "_SLICE", 100)
+    monkeypatch.setattr(containment, "COUNT_BITS", 20 if seed < 3 else 8)
+    rng = random.Random(seed)
+    signs = ["a", "b", " ", "the ", "é", "日本", "lyrics of ", "\U0001f600", "x" * 30]
+    made = lambda n: "".join(rng.choice(signs) for _ in range(rng.randint(0, n)))
+    texts = [made(30) for _ in range(150)] + [None, "", "the " * 500]
+    patterns = [made(5) for _ in range(150)] + [t[k : k + rng.randint(1, 40)] for t in texts[:60] for k in (0, 3) if t] + [None, ""]
+    given = spark.createDataFrame([(t, 1) for t in texts * 2], "t string, other int").repartition(3)
+    found = containment.occurrences(given, "t", spark.createDataFrame([(p,) for p in patterns * 2], "p string").repartition(2), "p")
+    expected = {(t, p) for t in texts if t for p in patterns if p and p in t}
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    nothing = given.limit(0)
+    assert containment.occurrences(nothing, "t", found, "p").count() == containment.occurrences(found, "p", nothing, "t").count() == 0
+
+
 def test_like_knows_no_escape(spark):
     tracks = spark.createDataFrame([("a\\b", "x", "ÀB"), ("100%", "y", "z")], "artist STRING, album STRING, title STRING")
     tracks = tracks.withColumns({"status": F.lit(1), "format": F.lit("FLAC")})
