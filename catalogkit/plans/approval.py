@@ -80,11 +80,17 @@ def plan_approval(
 
 
 def fill_lyrics(items: DataFrame, replies: DataFrame) -> DataFrame:
-    """Items whose empty ``lyrics_text`` is filled from captured LRCLIB replies before tags are written."""
-    asked = items.filter(F.coalesce("lyrics_text", F.lit("")) == "").select("artist", "title", "album").distinct()
+    """Items whose empty ``lyrics_text`` is filled from captured LRCLIB replies before tags are written.
+
+    A null artist, title or album is asked for as an empty one; other columns, ``lyrics`` among them, stay.
+    """
+    keys = {c: F.coalesce(F.col(c), F.lit("")) for c in ("artist", "title", "album")}
+    asked = items.filter(F.coalesce("lyrics_text", F.lit("")) == "").select(*[v.alias(c) for c, v in keys.items()]).distinct()
     found = batch_lookup(asked, replies).filter("lyrics != ''")
-    return items.join(found, ["artist", "title", "album"], "left").select(
-        *[first_filled("lyrics_text", "lyrics").alias(c) if c == "lyrics_text" else c for c in items.columns]
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("lyrics").alias("_found"))
+    met = [F.col(f"_{c}") == v for c, v in keys.items()]
+    return items.join(found, met, "left").select(
+        *[first_filled("lyrics_text", "_found").alias(c) if c == "lyrics_text" else items[c] for c in items.columns]
     )
 
 

@@ -1,4 +1,9 @@
-"""The catalog as a stored table: creation, full refresh and upsert."""
+"""The catalog as a stored table: creation, full refresh and upsert.
+
+A refresh writes a snapshot of its own, in parts by the hash of the key, and then points readers
+at it; until that row is there they see the one before, whole. An upsert replaces those parts
+of the current snapshot that its keys fall into. One writer at a time.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,45 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.catalog import KEY, upsert_tracks
+from ..session import cut_lineage
 
 TEXT_DEFAULT, NUMBER_DEFAULT = "", 0
+#: Parts of a snapshot unless a refresh says otherwise.
+PARTS = 64
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of the snapshot that readers see (0: none yet) and its parts."""
+    rows = spark.read.schema("snapshot long, parts int").parquet(f"{path}/current")
+    last = rows.agg(F.max(F.struct("snapshot", "parts")).alias("last")).first()["last"]
+    return (last["snapshot"], last["parts"]) if last else (0, PARTS)
+
+
+def _point(spark: SparkSession, path: str, snapshot: int, parts: int, mode: str) -> None:
+    rows = spark.createDataFrame([(snapshot, parts)], "snapshot long, parts int").coalesce(1)
+    rows.write.mode(mode).parquet(f"{path}/current")
+
+
+def _snapshot(path: str, number: int) -> str:
+    return f"{path}/snapshots/{number}"
+
+
+def _parts_of(spark: SparkSession, path: str) -> DataFrame:
+    number, _ = _current(spark, path)
+    if not number:
+        return spark.createDataFrame([], f"{schemas.TRACKS}, part int")
+    return spark.read.schema(f"{schemas.TRACKS}, part int").parquet(_snapshot(path, number))
 
 
 def init_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog at a path; an empty one is written where there is none."""
-    empty = spark.createDataFrame([], schemas.TRACKS)
-    empty.write.mode("ignore").parquet(path)
+    """The catalog at a path; an empty one is made where there is none."""
+    _point(spark, path, 0, PARTS, "ignore")
     return read_catalog(spark, path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Stored catalog rows."""
-    return spark.read.schema(schemas.TRACKS).parquet(path)
+    return _parts_of(spark, path).drop("part")
 
 
 def _stored_columns(rows: DataFrame) -> list[Column]:
@@ -35,22 +65,40 @@ def _stored_columns(rows: DataFrame) -> list[Column]:
     return columns
 
 
-def refresh_catalog(rows: DataFrame, path: str) -> None:
-    """Replace the stored catalog by these rows.
+def _placed(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows as they are stored. ``id`` is a signed hash of the key, for joins; the key itself is what is unique."""
+    stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows))
+    return stored.withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
+
 
-    ``id`` is a signed hash of the key, for joins; the key itself is what is unique.
+def refresh_catalog(rows: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Replace the stored catalog by these rows, which may come from it.
+
+    Readers see the old rows until all new ones are written. Set ``parts`` so that one fits a task.
     """
-    stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows))
-    stored.write.mode("overwrite").parquet(path)
+    spark = rows.sparkSession
+    _point(spark, path, 0, parts, "ignore")
+    number = _current(spark, path)[0] + 1
+    # What a refresh that was cut short has left under this number goes.
+    _placed(rows, parts).repartition("part").write.mode("overwrite").partitionBy("part").parquet(_snapshot(path, number))
+    _point(spark, path, number, parts, "append")
 
 
-def merge_into_catalog(spark: SparkSession, path: str, batch: DataFrame, new_path: str) -> DataFrame:
-    """Upsert a batch (ordered by ``seq``) into the catalog at ``path``, written to ``new_path``.
+def merge_into_catalog(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """Upsert a batch (ordered by ``seq``) into the catalog at ``path`` and return it.
 
-    Plain Parquet cannot be replaced while it is read: point readers at the new
-    path once it is written.
+    Parts without a key of the batch are neither read nor written.
     """
-    stored = read_catalog(spark, path).drop("id").withColumn("seq", F.lit(0).cast("bigint"))
-    added = batch.select(*_stored_columns(batch), F.col("seq").cast("bigint").alias("seq"))
-    refresh_catalog(upsert_tracks(stored, added), new_path)
-    return read_catalog(spark, new_path)
+    number, parts = _current(spark, path)
+    if not number:
+        refresh_catalog(spark.createDataFrame([], schemas.TRACKS), path, parts)
+        number, parts = _current(spark, path)
+    order = F.col("seq").cast("bigint").alias("seq")
+    touched = [row["part"] for row in _placed(batch, parts).select("part").distinct().collect()]  # at most ``parts``
+    stored = _parts_of(spark, path).filter(F.col("part").isin(touched)).drop("id", "part").withColumn("seq", F.lit(0).cast("bigint"))
+    merged = upsert_tracks(stored, batch.select(*_stored_columns(batch), order))
+    # Written before the parts that it was read from are replaced.
+    made = cut_lineage(_placed(merged, parts))
+    made.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
+        _snapshot(path, number))
+    return read_catalog(spark, path)

@@ -23,15 +23,39 @@ def read_responses(spark: SparkSession, path: str, service: str | None = None) -
     return rows.filter(F.col("service") == service) if service else rows
 
 
-def answers(asked: DataFrame, replies: DataFrame, parse: Callable[[str], Column] | None = None) -> DataFrame:
+def _first_of_each(replies: DataFrame) -> DataFrame:
+    rank = F.struct("request_id", "body") if "request_id" in replies.columns else F.col("body")
+    return replies.groupBy("url").agg(F.min_by("body", rank).alias("body"))
+
+
+def store_replies(replies: DataFrame, table: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The reply that counts for each address, written once as a table in buckets by address.
+
+    Searches meet such a store without shuffling or sorting it again, however many rounds of them
+    there are: pass it on with ``stored=True``. ``buckets`` is the session's number of shuffle partitions
+    unless given; ``path`` keeps the files outside the warehouse.
+    """
+    spark = replies.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    picked = _first_of_each(replies.filter(F.col("url").isNotNull())).repartition(n, "url")
+    writer = picked.write.format("parquet").mode("overwrite").bucketBy(n, "url").sortBy("url")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
+def answers(
+    asked: DataFrame, replies: DataFrame, parse: Callable[[str], Column] | None = None, stored: bool = False
+) -> DataFrame:
     """One reply for each address in ``asked`` (url): url and ``body``, or what ``parse`` makes of it.
 
     Only replies to those addresses are compared and parsed. Of several to one address the
-    first by request_id counts (by body where there is none).
+    first by request_id counts (by body where there is none). ``stored`` says that ``replies``
+    comes from ``store_replies``.
     """
     wanted = asked.select("url").filter(F.col("url").isNotNull()).distinct()
-    rank = F.struct("request_id", "body") if "request_id" in replies.columns else F.col("body")
-    picked = replies.join(wanted, "url", "left_semi").groupBy("url").agg(F.min_by("body", rank).alias("body"))
+    met = replies.select("url", "body") if stored else replies
+    met = met.join(wanted, "url", "left_semi")
+    picked = met if stored else _first_of_each(met)
     return picked if parse is None else picked.select("url", parse("body").alias("body"))
 
 

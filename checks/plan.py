@@ -232,10 +232,11 @@ def approval_lyrics(spark, sf_dir):
         "conv_id", "turn", "text", kind.alias("kind"),
         F.concat("role", F.lit("-"), F.col("conv_id").cast("string")).alias("artist"),
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"),
-        F.lit("").alias("album"),
+        F.when(kind == 2, F.lit("")).alias("album"),
         F.when(kind == 0, F.concat(F.lit("own "), "role")).otherwise("").alias("lyrics_text"),
+        F.struct(F.lit("").alias("original"), F.lit("").alias("romaji"), F.lit("").alias("english")).alias("lyrics"),
     )
     body = F.to_json(F.struct(F.concat(F.lit("lrc "), "text").alias("syncedLyrics")))
-    replies = items.filter("kind IN (0, 1)").select(requests.lrclib("artist", "title", "album").alias("url"), body.alias("body"))
+    replies = items.filter("kind IN (0, 1)").select(requests.lrclib("artist", "title", F.lit("")).alias("url"), body.alias("body"))
     filled = approval.fill_lyrics(items.drop("text"), replies)
     return filled.select("conv_id", "turn", F.md5("lyrics_text").alias("lyrics_text"))

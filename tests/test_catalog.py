@@ -123,8 +123,39 @@ def test_stored_catalog(spark, tmp_path):
     catalog_table.refresh_catalog(rows, path)
     assert catalog_table.init_catalog(spark, path).count() == 1
     batch = spark.createDataFrame([("A", "B", "t", "FLAC", 0, 5, 1), ("A", "B", "u", "MP3", 1, 7, 2)], rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", seq BIGINT")
-    merged = catalog_table.merge_into_catalog(spark, path, batch, str(tmp_path / "d"))
+    merged = catalog_table.merge_into_catalog(spark, path, batch)
     assert sorted((r.title, r.format, r.status, r.bitrate_kbps) for r in merged.collect()) == [("t", "FLAC", 0, 320), ("u", "MP3", 1, 7)]
+    first = catalog_table.init_catalog(spark, str(tmp_path / "empty"))
+    assert first.count() == 0 and catalog_table.merge_into_catalog(spark, str(tmp_path / "empty"), batch).count() == 2
+
+
+def test_merge_rewrites_touched_parts(spark, tmp_path):
+    """Files of parts without a key of the batch stay as they are."""
+    path = str(tmp_path / "c")
+    rows = spark.range(500).select(F.lit("A").alias("artist"), F.lit("B").alias("album"), F.col("id").cast("string").alias("title"), F.lit("MP3").alias("format"), F.lit(1).alias("status"))
+    catalog_table.refresh_catalog(rows, path, parts=16)
+
+    def files():
+        return {(f.parent.name, f.name) for f in (tmp_path / "c" / "snapshots" / "1").rglob("*.parquet")}
+
+    before = files()
+    batch = rows.filter("title IN ('7', '11')").withColumns({"status": F.lit(0), "seq": F.col("title").cast("bigint")})
+    merged = catalog_table.merge_into_catalog(spark, path, batch)
+    assert len({part for part, _ in before}) == 16
+    assert 1 <= len({part for part, _ in before - files()}) <= 2 and len(before & files()) >= 14
+    assert merged.count() == 500 and merged.filter("status = 0").count() == 2
+
+
+def test_refresh_is_seen_whole(spark, tmp_path):
+    """A refresh that fails leaves readers the rows before, also one that reads the catalog itself."""
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("A", "B", "t", "MP3"), ("A", "B", "u", "MP3")], "artist string, album string, title string, format string")
+    catalog_table.refresh_catalog(rows, path)
+    with pytest.raises(Exception, match="broken off"):
+        catalog_table.refresh_catalog(rows.withColumn("year", F.raise_error(F.lit("broken off")).cast("string")), path)
+    assert catalog_table.read_catalog(spark, path).count() == 2
+    catalog_table.refresh_catalog(catalog_table.read_catalog(spark, path).filter("title = 'u'"), path)
+    assert [r.title for r in catalog_table.read_catalog(spark, path).collect()] == ["u"]
 
 
 def test_scan(spark, tmp_path):

@@ -131,3 +131,16 @@ def test_of_several_replies_to_an_address_the_first_counts(spark):
     assert [tuple(r) for r in R.answers(asked, replies).collect()] == [("u", "first")]
     assert [tuple(r) for r in R.answers(asked, replies.drop("request_id")).collect()] == [("u", "first")]
     assert [r.body for r in R.answers(asked, replies, lambda b: F.upper(b)).collect()] == ["FIRST"]
+
+
+def test_reply_store_is_not_shuffled(spark, tmp_path):
+    """Rounds of searches meet a store in its buckets, and get the answers that plain replies give."""
+    rows = [("u", "second", "2"), ("u", "first", "1"), ("v", "only", "1"), (None, "x", "0"), ("w", "not asked", "1")]
+    replies = spark.createDataFrame(rows, "url STRING, body STRING, request_id STRING")
+    store = R.store_replies(replies, "replies_of_test", str(tmp_path / "store"), 4)
+    asked = spark.createDataFrame([("u",), ("v",), ("u",), (None,), ("z",)], "url STRING")
+    found = R.answers(asked, store, stored=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.answers(asked, replies).collect())) == [("u", "first"), ("v", "only")]
+    plan = R.answers(asked.hint("merge"), store.hint("merge"), stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    spark.sql("DROP TABLE replies_of_test")
