@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,28 @@ def read_covers(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("score", values.cover_quality_score("width", "height", "sharpness"))
 
 
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write image files (name, content) into a folder that all executors reach; returns the paths.
+
+    A file is written whole under its name, so a task that runs again writes the same.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        local = re.sub("^(file:)?/+", "file:///", folder)
+        store, base = fs.FileSystem.from_uri(local)
+        store.create_dir(base)
+        for batch in batches:
+            paths = [f"{base}/{name}" for name in batch.column("name").to_pylist()]
+            for path, content in zip(paths, batch.column("content").to_pylist()):
+                with store.open_output_stream(path) as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array(paths, pa.string())], ["path"])
+
+    return images.select("name", "content").mapInArrow(run, "path string")
+
+
 def compare_covers(pairs: DataFrame) -> DataFrame:
     """Local and online covers with scores, the choice and doubts about upscaled images.
 
@@ -48,21 +73,28 @@ def cover_fetch_list(albums: DataFrame) -> DataFrame:
     return albums.filter(bare).select("album_key", F.posexplode(urls).alias("rank", "url"))
 
 
+def archive_covers(albums: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``(album_key, archive_url)``: the first archive address of each MusicBrainz album that was fetched."""
+    present = fetched.filter(F.col("length") > 0).select("url").distinct()
+    tried = cover_fetch_list(albums).join(present, "url", "left_semi")
+    return tried.groupBy("album_key").agg(F.min_by("url", "rank").alias("archive_url"))
+
+
+def without_archive_cover(albums: DataFrame, fetched: DataFrame) -> DataFrame:
+    """MusicBrainz albums for which no archive address gave an image, to ask elsewhere."""
+    asked = cover_fetch_list(albums).select("album_key").distinct()
+    return albums.join(asked, "album_key", "left_semi").join(archive_covers(albums, fetched), "album_key", "left_anti")
+
+
 def choose_cover_source(albums: DataFrame, fetched: DataFrame) -> DataFrame:
     """Where each album's cover comes from.
 
     A catalogue's own cover first; for MusicBrainz albums the first archive
     address that was fetched, then Discogs, then the wiki. ``albums`` has
-    release_id, own_cover_url, discogs_cover_url and thwiki_cover_url;
-    ``fetched`` has url and length.
+    release_id, own_cover_url, discogs_cover_url (see ``resolve.with_discogs_covers``)
+    and thwiki_cover_url; ``fetched`` has url and length.
     """
-    present = fetched.filter(F.col("length") > 0).select("url").distinct()
-    archive = (
-        cover_fetch_list(albums)
-        .join(present, "url", "left_semi")
-        .groupBy("album_key")
-        .agg(F.min_by("url", "rank").alias("archive_url"))
-    )
+    archive = archive_covers(albums, fetched)
     joined = albums.join(archive, "album_key", "left")
     url = first_filled("own_cover_url", "archive_url", "discogs_cover_url", "thwiki_cover_url")
     source = (

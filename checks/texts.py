@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from catalogkit.functions import extract, japanese, language, text, values
 from catalogkit.operators import covers
+from catalogkit.session import shared_folder
 from catalogkit.sources import requests
 
 from . import views
@@ -317,3 +323,43 @@ def pick_variants(spark, sf_dir):
         language.pick_best_lyrics(*marks, preference="English").alias("english_first"),
         language.pick_best_lyrics(*marks, preference="Japanese").alias("japanese_first"),
     )
+
+
+_GREY = "((({0}) * 77 + (({0}) * 3 % 256) * 150 + (({0}) * 5 % 256) * 29) >> 8)"
+_PIXEL = "(s_suppkey * 31 + x * 17 + y * 29 + x * y * 7) % 256"
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey, 3 + s_suppkey % 9 AS w, 3 + s_suppkey % 7 AS h FROM supplier),
+px AS (SELECT s_suppkey, w, h, x, y, {_GREY.format(_PIXEL)} AS g FROM s, range(0, 12) a(x), range(0, 10) b(y) WHERE x < w AND y < h),
+e AS (SELECT p.s_suppkey, abs(4 * p.g - (SELECT sum(q.g) FROM px q WHERE q.s_suppkey = p.s_suppkey AND abs(q.x - p.x) + abs(q.y - p.y) = 1)) AS edge
+  FROM px p WHERE p.x % 2 = 1 AND p.y % 2 = 1 AND p.x < p.w - 1 AND p.y < p.h - 1 AND p.w >= 4 AND p.h >= 4),
+v AS (SELECT s_suppkey, var_pop(edge::DOUBLE) AS sharpness FROM e GROUP BY 1),
+a AS (SELECT s_suppkey, w, h, coalesce(sharpness, 0.0) AS sharpness FROM s LEFT JOIN v USING (s_suppkey))
+SELECT s_suppkey, w::BIGINT AS width, h::BIGINT AS height, round(sharpness, 4) AS sharpness, {_score_sql('w', 'h', 'round(sharpness, 4)')} AS score FROM a
+""")
+def cover_sharpness(spark, sf_dir):
+    """Bitmaps made from the suppliers, one file each, decoded, measured and scored."""
+
+    def bitmaps(batches):
+        for batch in batches:
+            made = []
+            for key in batch.column("s_suppkey").to_pylist():
+                w, h = 3 + key % 9, 3 + key % 7
+                y, x = np.mgrid[0:h, 0:w]
+                red = (key * 31 + x * 17 + y * 29 + x * y * 7) % 256
+                rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)
+                rows[:, : 3 * w] = np.stack([red * 5 % 256, red * 3 % 256, red], axis=2).reshape(h, 3 * w)
+                body = rows[::-1].tobytes()
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0)
+                made.append(head + body)
+            names = pa.array([f"{key}.bmp" for key in batch.column("s_suppkey").to_pylist()])
+            yield pa.record_batch([names, pa.array(made, pa.binary())], ["name", "content"])
+
+    folder = shared_folder(spark, f"covers-{uuid.uuid4()}")
+    suppliers = views.table(spark, sf_dir, "supplier").select("s_suppkey").repartition(8, "s_suppkey")
+    covers.write_images(suppliers.mapInArrow(bitmaps, "name string, content binary"), folder).count()
+    found = covers.read_covers(spark, folder).select(
+        F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("bigint").alias("s_suppkey"), F.col("width").cast("bigint").alias("width"),
+        F.col("height").cast("bigint").alias("height"), F.round("sharpness", 4).alias("sharpness"))
+    return found.withColumn("score", values.cover_quality_score("width", "height", "sharpness"))
