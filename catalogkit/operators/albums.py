@@ -141,17 +141,40 @@ def _membership_keys(rows: DataFrame) -> DataFrame:
     ).filter(F.col("value").isNotNull())
 
 
+def album_classes(items: DataFrame, references: DataFrame) -> DataFrame:
+    """(role, kind, value, seq): what album each reference stands for, without pairs.
+
+    A class is a folder, a release or an album title. 'reference' rows name the classes that make up a
+    reference's album, at most three and, while it is to review, one of its own ('item'); 'member' rows are the items to
+    review of each class that some reference has. Together they say as much as ``album_members``
+    but grow with the rows, not with references times members.
+    """
+    wanted = _membership_keys(references).select("kind", "value", "seq")
+    members = _membership_keys(unprocessed(items)).select("kind", "value", "seq")
+    met = members.join(wanted.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    own = unprocessed(references).select(F.lit("item").alias("kind"), F.col("seq").cast("string").alias("value"), "seq")
+    both = [("reference", wanted), ("reference", own), ("member", met), ("member", own)]
+    parts = [rows.select(F.lit(role).alias("role"), "kind", "value", "seq") for role, rows in both]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
+
+
+def members_of(classes: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(ref_seq, seq) from ``album_classes``, for all references or the given ones (seq)."""
+    wanted = classes.filter("role = 'reference'").select("kind", "value", F.col("seq").alias("ref_seq"))
+    if references is not None:
+        wanted = wanted.join(references.select(F.col("seq").alias("ref_seq")).distinct(), "ref_seq", "left_semi")
+    members = classes.filter("role = 'member'").select("kind", "value", "seq")
+    return wanted.join(members, ["kind", "value"]).select("ref_seq", "seq").distinct()
+
+
 def album_members(items: DataFrame, references: DataFrame) -> DataFrame:
     """(ref_seq, seq): the items to review that share folder, release or album with each reference.
 
     The three alternatives are one equality join on (kind, value). A reference
-    always belongs to its own album while it is to review.
+    always belongs to its own album while it is to review. Every pair is a row, so
+    give the few references that are asked for; ``album_classes`` answers for all.
     """
-    members = _membership_keys(unprocessed(items)).select("kind", "value", "seq")
-    wanted = _membership_keys(references).select("kind", "value", F.col("seq").alias("ref_seq"))
-    found = wanted.join(members, ["kind", "value"]).select("ref_seq", "seq")
-    own = unprocessed(references).select(F.col("seq").alias("ref_seq"), "seq")
-    return found.unionByName(own).distinct()
+    return members_of(album_classes(items, references))
 
 
 def album_selection(items: DataFrame, references: DataFrame) -> DataFrame:
@@ -166,8 +189,18 @@ def album_selection(items: DataFrame, references: DataFrame) -> DataFrame:
     return unprocessed(items).join(seqs.unionByName(own), "seq", "left_semi")
 
 
+def folder_classes(items: DataFrame, references: DataFrame) -> DataFrame:
+    """(role, value, seq): the folder of each reference, and all items of those folders, reviewed or not."""
+    wanted = references.select(F.lit("reference").alias("role"), F.col("folder").alias("value"), "seq")
+    members = items.select(F.lit("member").alias("role"), F.col("folder").alias("value"), "seq")
+    return wanted.unionAll(members.join(wanted.select("value").distinct(), "value", "left_semi").select(wanted.columns))
+
+
 def folder_members(items: DataFrame, references: DataFrame) -> DataFrame:
-    """(ref_seq, seq): all items in each reference's folder, reviewed or not."""
+    """(ref_seq, seq): all items in each reference's folder, reviewed or not.
+
+    For the few references that are asked for; ``folder_classes`` answers for all without pairs.
+    """
     wanted = references.select("folder", F.col("seq").alias("ref_seq"))
     return wanted.join(items.select("folder", "seq"), "folder").select("ref_seq", "seq")
 

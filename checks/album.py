@@ -88,6 +88,25 @@ def folder_members(spark, sf_dir):
     return albums.folder_members(items, refs)
 
 
+@query(f"""
+WITH {_KEYED}, c AS (SELECT seq, is_processed, 'folder' AS kind, folder AS value FROM keyed WHERE folder <> ''
+  UNION ALL SELECT seq, is_processed, 'release', release_id FROM keyed WHERE release_id <> ''
+  UNION ALL SELECT seq, is_processed, 'album', title_key FROM keyed WHERE title_key IS NOT NULL
+  UNION ALL SELECT seq, is_processed, 'item', seq::VARCHAR FROM keyed WHERE NOT is_processed)
+SELECT 'reference' AS role, kind, value, seq FROM c UNION ALL SELECT 'member', kind, value, seq FROM c WHERE NOT is_processed
+""")
+def album_classes(spark, sf_dir):
+    """Every item is a reference: its album by classes, where pairs would be many times the items."""
+    items = _items(spark, sf_dir)
+    return albums.album_classes(items, items)
+
+
+@query(f"WITH {_KEYED} SELECT 'reference' AS role, folder AS value, seq FROM keyed UNION ALL SELECT 'member', folder, seq FROM keyed")
+def folder_classes(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return albums.folder_classes(items, items)
+
+
 @query(f"""
 WITH {_KEYED}, refs AS (SELECT min(seq) AS ref_seq, folder FROM keyed WHERE NOT is_processed GROUP BY folder),
 chosen AS (SELECT k.seq AS ref_seq, k.folder, k.release_id, k.title_key, 'Set ' || k.title AS new_artist FROM keyed k JOIN refs r ON k.seq = r.ref_seq),
