@@ -110,11 +110,11 @@ def test_viterbi_is_the_best_path(rude):
         assert any(p[0] == toxicity.decode(token, rude.letters) and total(p) == pytest.approx(total(best)) for p in paths)
 
 
-def test_runs_of_signs(rude):
+def test_runs_of_signs():
     """A run of a sign hides one letter, some, or as many as it has signs; other words stay what they are."""
     words = {"idiot$": 3.0, "loser$": 3.0, "stupid$": 3.0}
-    common = {"the": 50.0, "window": 9.0, "latitude": 5.0, "lost": 9.0, "river": 9.0, "stayed": 7.0, "said": 20.0}
-    model = toxicity.Model(words, -2.0, toxicity.CharacterModel({**common, **{w[:-1]: 30.0 for w in words}}))
+    common = {"the$": 50.0, "window$": 9.0, "latitude$": 5.0, "lost$": 9.0, "river$": 9.0, "stayed$": 7.0, "said$": 20.0}
+    model = toxicity.Model(words, -2.0, toxicity.CharacterModel({**common, **dict.fromkeys(words, 30.0)}))
     hidden = {"id1111ot": "idiot$", "1111d10t": "idiot$", "l00000ser": "loser$", "s****d": "stupid$", "st****d": "stupid$", "id!!!!ot": "idiot$",
               "l0$$$er": "loser$", "$tup1111111111111111111111111111111d": "stupid$"}
     assert {t: model.words[model.find(t)] if model.find(t) >= 0 else None for t in hidden} == hidden
