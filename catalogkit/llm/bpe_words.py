@@ -100,12 +100,14 @@ def _blocks(batches):
     texts.settle()
 
 
-_CODEC = "zstd"
+#: Places are most of what moves, so they are packed with some care.
+_CODEC, _LEVEL = "zstd", 9
 
 
 def _pack(spots: np.ndarray) -> bytes:
     """32-bit numbers as compressed planes of bytes."""
-    return pa.compress(spots.view(np.uint8).reshape(-1, 4).T.tobytes(), _CODEC, asbytes=True)
+    planes = spots.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.Codec(_CODEC, compression_level=_LEVEL).compress(planes, asbytes=True)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:

@@ -107,3 +107,26 @@ def test_local_sums():
         for v in reversed(range(1, n)):
             expected[parents[v]] = [a + b for a, b in zip(expected[parents[v]], expected[v])]
         assert tree_sums.local_sums(parents, values) == expected
+
+
+@pytest.mark.parametrize("most", [1 << 14, 5])
+def test_forest_sums(spark, most):
+    """Several trees at once, a chain, a star and random ones, with weights other than sizes."""
+    rng, parent = random.Random(4), {}
+    shapes = {"chain": lambda k: k - 1, "star": lambda k: 0, "tree": lambda k: rng.randrange(k), "single": None}
+    for name, shape in shapes.items():
+        for k in range(40 if shape else 1):
+            parent[f"{name}{k}"] = f"{name}{shape(k)}" if k else None
+    own = {v: (rng.randint(0, 9), rng.randint(-5, 5), rng.randint(1, 4)) for v in parent}
+    above = {v: [v] for v in parent}
+    for v, line in above.items():
+        while parent[line[-1]]:
+            line.append(parent[line[-1]])
+    sums = {v: [sum(own[u][k] for u in parent if v in above[u]) for k in range(3)] for v in parent}
+    nodes = [(v, p, len(above[v]) - 1, v, sums[v][2], own[v][0], own[v][1]) for v, p in parent.items()]
+    steps = [(v, len(above[u]) - 1, u, parent[u]) for v in parent for u in above[v]]
+    found = tree_sums.subtree_sums(
+        spark.createDataFrame(nodes, "id string, parent string, depth long, line string, weight long, a long, b long"),
+        spark.createDataFrame(steps, "line string, depth long, id string, parent string"), ["a", "b"], most,
+    )
+    assert {r.id: [r.a, r.b] for r in found.collect()} == {v: s[:2] for v, s in sums.items()}
