@@ -189,24 +189,85 @@ def test_base_scores_against_brute_force(documents, odd_texts):
     assert maxent_lm.score(documents([])).count() == 0
 
 
-def test_model_is_a_distribution_and_learns():
+def brute_scores(rows):
+    """The model over (doc_id, text, learned) with plain loops."""
+    lm, classes = maxent_lm, maxent_lm.CLASSES
+    docs = [(tokens_of(text), learned) for _, text, learned in rows]
+    kind = {t: int(lm.token_classes(pa.array([(b"\n" if t is None else t) + b" "], pa.large_binary()))[0]) for own, _ in docs for t in own}
+    counts, follows = Counter(), Counter()
+    for own, learned in docs:
+        if learned:
+            counts.update(own)
+            follows.update((before, kind[t]) for before, t in zip([None, *own], own))
+    share = [sum(n for t, n in counts.items() if kind[t] == c) for c in range(classes)]
+    per_class = [n + sum(1 for t in counts if kind[t] == c) + 1 for c, n in enumerate(share)]
+    share = [(n + 1) / (sum(share) + classes) for n in share]
+    table, trust = {}, [1.0] * lm.TRUSTS
+
+    def logs(own, i, left_out):
+        before, c = (own[i - 1] if i else None), kind[own[i]]
+        uses, n = counts[before] - left_out, [follows[before, k] for k in range(classes)]
+        n[c] -= left_out
+        values = [math.log1p(n[k] / (lm.PRIOR * share[k])) for k in range(classes)]
+        level = int(math.log2(uses + 1))
+        back = [kind[own[i - k]] if i >= k else classes for k in (1, 2, 3, 4)]
+        features = [("pair", *back[:2]), ("skip", *back[2:])]
+        z = [math.log(share[k]) + trust[level] * values[k] + sum(table.get((f, k), 0) for f in features) for k in range(classes)]
+        top = max(z) + math.log(sum(math.exp(x - max(z)) for x in z))
+        return [x - top for x in z], values, level, features
+
+    for turn in range(lm.ROUNDS):
+        seen, expected, slope, curve = Counter(), Counter(), Counter(), Counter()
+        for own, learned in docs:
+            for i, t in enumerate(own):
+                if learned and (i + len(own)) % lm.ROUNDS == turn:
+                    z, values, level, features = logs(own, i, 1)
+                    mean = sum(math.exp(x) * v for x, v in zip(z, values))
+                    slope[level] += values[kind[t]] - mean
+                    curve[level] += sum(math.exp(x) * v * v for x, v in zip(z, values)) - mean * mean
+                    for f in features:
+                        seen[f, kind[t]] += 1
+                        for k in range(classes):
+                            expected[f, k] += math.exp(z[k])
+        for at in expected:
+            table[at] = table.get(at, 0) + lm.STEP * (seen[at] - expected[at]) / ((seen[at] + expected[at]) / 2 + lm.DAMPING)
+        trust = [min(2, max(0, w + lm.STEP * slope[k] / (curve[k] + lm.DAMPING))) for k, w in enumerate(trust)]
+    return [sum(logs(own, i, 0)[0][kind[t]] / math.log(10) + math.log10((counts[t] + 1) / per_class[kind[t]]) for i, t in enumerate(own)) for own, _ in docs]
+
+
+def test_scores_against_brute_force_however_rows_are_split(documents):
+    rng = random.Random(11)
+    phrases = ["one two three", "four five six", "the End", "", "x"]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(50, None), (None, "one two three")]
+    learned = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    expected = brute_scores([(i, text, own) for (i, text), own in zip(rows, learned)])
+    for parts in (1, 3, 40):
+        got = {r.doc_id: r.score for r in maxent_lm.score(documents(rows).repartition(parts)).collect()}
+        for (i, _), score in zip(rows, expected):
+            assert abs(got[i] - score) < 1e-3 * (1 - score)
+
+
+def test_model_is_a_distribution_and_learns(documents):
     rng = random.Random(8)
-    text = " ".join(rng.choice(["one two three", "four five six"]) for _ in range(4000))
-    trainer = maxent_lm.Trainer()
-    for _ in range(3):
-        trainer.learn(maxent_lm.Tokens(pa.array([text])))
-    tokens = maxent_lm.Tokens(pa.array(["one two three four five six", None]))
-    logs = maxent_lm.class_scores(trainer.table, trainer.bias, maxent_lm.contexts(tokens))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
-    own = tokens.classes[tokens.numbers]
-    gain = logs[np.arange(len(own)), own] - trainer.bias[own]
-    assert gain[1] > 0.5 and gain[2] > 0.5
+    rows = [(i, " ".join(rng.choice(["one two three", "four five six"]) for _ in range(100))) for i in range(70)]
+    held = [r for r in maxent_lm.score(documents(rows)).collect() if r.held_out]
+    # Two of three tokens follow from the one before.
+    assert held and all((r.score - r.base_score) / r.n_tokens > 0.45 for r in held)
+    assert all(r.score / r.n_tokens > -0.16 for r in held)
+
+
+def test_codes_of_counts():
+    counts = np.array([0, 1, 2, 15, 16, 17, 100, 10**6, 10**9])
+    back = maxent_lm.from_code()[maxent_lm.to_code(counts)]
+    assert (back[:5] == counts[:5]).all() and (np.abs(back[5:] / counts[5:] - 1) < 0.05).all()
 
 
 def test_contexts_stay_within_their_text():
-    both = maxent_lm.contexts(maxent_lm.Tokens(pa.array(["a b c", "d e"])))
-    alone = maxent_lm.contexts(maxent_lm.Tokens(pa.array(["d e"])))
-    assert (both[:, 4:] == alone).all()
+    def rows(column):
+        tokens = maxent_lm.Tokens(pa.array(column))
+        return maxent_lm.contexts(tokens.classes[tokens.numbers], tokens.first)
+
+    assert (rows(["a b c", "d e"])[:, 4:] == rows(["d e"])).all()
 
 
 def test_end_token_has_its_own_class():
