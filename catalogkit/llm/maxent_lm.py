@@ -43,7 +43,7 @@ ROUNDS = 4
 #: Part of the way to the balance of seen and expected counts that a round goes, and what it adds to both.
 STEP, DAMPING = 0.7, 4.0
 BATCH = 4096
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 FOLDS, TEST_FOLD = 7, 2
 BUCKETS_PER_PARTITION = 2
 #: Text for each further bucket, partition of buckets and task of training.
@@ -222,6 +222,20 @@ def _rounded(values: np.ndarray) -> bytes:
     return ((bits + np.uint32(1 << 11)) & np.uint32(0xFFFFF000)).tobytes()
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _by_rank(sizes: np.ndarray) -> np.ndarray:
+    """Order of words, sorted by bucket and there by frequency, that takes the first of every bucket, then the second.
+
+    So frequent words have low numbers, and buckets of these ``sizes`` are all it takes to find it again.
+    """
+    return np.argsort(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), kind="stable")
+
+
 def _split(batches, buckets: int):
     """Blocks (key below zero) and what each sends to the buckets."""
     task, made = TaskContext.get().partitionId(), 0
@@ -232,12 +246,10 @@ def _split(batches, buckets: int):
         learned = np.repeat(batch.column("learned").to_numpy(zero_copy_only=False).astype(bool), np.diff(tokens.first))
         seen = np.bincount(tokens.numbers[learned], minlength=len(tokens.distinct))
         bucket = (tokens.hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((-np.bincount(tokens.numbers, minlength=len(bucket)), bucket))
         bucket, sorted_words = bucket[order], tokens.distinct.take(pa.array(order)).to_pylist()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        numbers, classes = place[tokens.numbers], tokens.classes[order]
-        before, own = place[previous(tokens.numbers)][learned], classes[numbers][learned]
+        place = _inverse(order)
+        before, own = place[previous(tokens.numbers)][learned], tokens.classes[tokens.numbers[learned]]
         follows, times = np.unique(before * CLASSES + own, return_counts=True)
         rows = {name: [] for name in _MOVED_ARROW.names}
 
@@ -247,6 +259,8 @@ def _split(batches, buckets: int):
 
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(cuts[1:], len(order))
+        again = _by_rank(ends - cuts)
+        numbers, classes = _inverse(again)[place][tokens.numbers], tokens.classes[order[again]]
         edges = zip(np.searchsorted(follows, cuts * CLASSES).tolist(), np.searchsorted(follows, ends * CLASSES).tolist())
         for a, b, (x, y) in zip(cuts.tolist(), ends.tolist(), edges):
             steps = np.diff(follows[x:y], prepend=a * CLASSES)
@@ -255,8 +269,8 @@ def _split(batches, buckets: int):
         sink, head = pa.BufferOutputStream(), batch.select(["doc_id", "held_out", "learned"])
         with pa.ipc.new_stream(sink, head.schema) as out:
             out.write_batch(head)
-        sizes = np.array([batch.num_rows, len(order), len(numbers)], np.int64)
-        body = (sizes, tokens.first.astype(np.int64), classes.astype(np.uint8), _planes(numbers), sink.getvalue().to_pybytes())
+        sizes = np.array([batch.num_rows, len(order), len(numbers), len(cuts)], np.int64)
+        body = (sizes, ends - cuts, tokens.first.astype(np.int64), classes.astype(np.uint8), _planes(numbers), sink.getvalue().to_pybytes())
         add(block, -1 - block, batch.num_rows, *_pack(*body))
         yield pa.RecordBatch.from_pydict(rows, _MOVED_ARROW)
 
@@ -325,13 +339,14 @@ def _join(rows: pa.Table) -> pa.Table:
         else:
             answers.append(data)
     if block >= 0:
-        distinct = int(whole[8:16].view(np.int64)[0])
+        distinct, _, own = whole[8:32].view(np.int64).tolist()
+        again = _by_rank(whole[32 : 32 + 8 * own].view(np.int64))
         counts, codes = np.zeros(distinct, np.int64), np.zeros((distinct, CLASSES), np.uint8)
         for data in answers:
             base, n = int(data[:8].view(np.int64)[0]), (len(data) - 8) // (8 + CLASSES)
             counts[base : base + n] = data[8 : 8 + 8 * n].view(np.int64)
             codes[base : base + n] = data[8 + 8 * n :].reshape(n, CLASSES)
-        raw, body = _pack(whole[:24], counts, codes, whole[24:])
+        raw, body = _pack(whole[:24], counts[again], codes[again], whole[32 + 8 * own :])
     else:
         raw, body = _pack(whole)
     return pa.table({"block": pa.array([block], pa.int64()), "raw": pa.array([raw], pa.int64()), "body": pa.array([body], pa.binary())})
@@ -356,8 +371,7 @@ class Block:
         self.batch = pa.ipc.open_stream(pa.py_buffer(data[at:].tobytes())).read_all()
         self.own = classes[self.numbers]
         self.rows = contexts(self.own, self.first)
-        # Words are numbered by bucket here; the last token of the block is an end.
-        end = self.numbers[-1:]
+        end = self.numbers[-1:]  # every text closes with it
         self.before = np.append(end, self.numbers[:-1])
 
     def learned(self, turn: int) -> np.ndarray:
