@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from . import texts
 
-#: Bytes of labelled text per language; rows with the lowest hash of their doc_id come first.
+#: Bytes of labelled text per language; distinct texts with the lowest hashes come first.
 SAMPLE_BYTES = 16_000
 SAMPLE_ROWS = 64
 MOST_BYTES = 16 * SAMPLE_BYTES
-#: Texts are parsed in lanes of this many bytes, all lanes of a slice at once.
+#: Texts are parsed in lanes of this many bytes, all lanes of a slice at once; results don't depend on it.
 LANE = 512
 UNKNOWN = "und"
 FOLDS = 5
@@ -102,33 +102,52 @@ class Languages:
     def phrases(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (rows) in each language, and the bytes parsed.
 
-        A text is parsed in lanes that start afresh, which adds under one phrase a lane in
-        every language alike.
+        Lanes of a text are parsed at once, each as if a phrase began with it. Then every lane
+        goes on into the next ones, and replaces the beginnings of phrases there, until it meets one
+        that it agrees with: from there on both are the same. A lane goes on at the same pace as the one
+        behind it, so it never meets beginnings that are still to be replaced. Lanes of text agree
+        after a few words; where they never do, the last step is as long as the text.
         """
         size = np.diff(places)
         lanes = -(-size // LANE)
         text = np.repeat(np.arange(len(size)), lanes)
         begin = np.repeat(places[:-1], lanes) + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-        length = np.minimum(begin + LANE, places[text + 1]) - begin
+        stop = places[text + 1]
+        length = np.minimum(begin + LANE, stop) - begin
         order = np.argsort(-length, kind="stable")
-        begin, length, text = begin[order], length[order], text[order]
-        symbols, count = self.symbol[data], np.zeros((len(self.names), len(text)), np.int32)
+        begin, length, stop = begin[order], length[order], stop[order]
+        symbols, starts = self.symbol[data], np.zeros((len(self.names), len(data) + 1), bool)
+        starts[:, begin] = True
         root = np.array(self.root, np.int64) * self.width
-        state = np.repeat(root[:, None], len(text), axis=1)
+        state = np.repeat(root[:, None], len(begin), axis=1)
         active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
         for step, n in enumerate(active.tolist()):
-            own = symbols[begin[:n] + step]
+            at = begin[:n] + step
+            own = symbols[at]
             for k in range(len(root)):
-                here = state[k, :n]
-                to = self.moves[here + own]
+                to = self.moves[state[k, :n] + own]
                 ended = np.flatnonzero(to < 0)
                 if len(ended):
                     to[ended] = self.moves[root[k] + own[ended]]
-                    count[k, ended] += 1
+                    starts[k, at[ended]] = True
                 state[k, :n] = to
-        count += 1
-        total = np.stack([np.bincount(text, weights=c, minlength=len(size)) for c in count], axis=1)
-        return total, size
+        more = begin + length < stop
+        for k in range(len(root)):
+            self._go_on(root[k], state[k, more], (begin + length)[more], stop[more], symbols, starts[k])
+        total = np.concatenate([np.zeros((len(root), 1), np.int64), np.cumsum(starts[:, :-1], axis=1, dtype=np.int64)], axis=1)
+        return (total[:, places[1:]] - total[:, places[:-1]]).T, size
+
+    def _go_on(self, root, state, at, stop, symbols, starts) -> None:
+        while len(at):
+            own = symbols[at]
+            to = self.moves[state + own]
+            ended = to < 0
+            agreed = ended & starts[at]
+            starts[at] = ended
+            to[ended] = self.moves[root + own[ended]]
+            at = at + 1
+            left = ~agreed & (at < stop)
+            state, at, stop = to[left], at[left], stop[left]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language of each text, and how far its phrases are below the next one's (0 to 1)."""
@@ -146,26 +165,31 @@ class Languages:
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS) -> Languages:
     """Automata of up to ``sample_bytes`` of text for each value of ``lang`` in ``docs``.
 
-    Of each language up to ``sample_rows`` rows with the lowest hashes of their doc_id give
-    equal parts of their beginnings, fewer bytes each if there are over 16 languages, so
-    the automata have a fixed bound.
+    Of each language up to ``sample_rows`` distinct texts, those with the lowest hashes, give equal
+    stretches, fewer bytes each if there are over 16 languages, so the automata have a fixed
+    bound. A stretch begins at a hashed place of the whole text: copies count once, and a common
+    header weighs no more than other parts.
     """
-    known = docs.filter("lang is not null and text rlike '\\\\p{L}'")
-    counts = {row["lang"]: row["count"] for row in known.groupBy("lang").count().toLocalIterator()}
+    known = docs.filter("lang is not null and text rlike '\\\\p{L}'").select("lang", F.col("text").cast("string").alias("text"))
+    distinct = F.approx_count_distinct(F.xxhash64("text")).alias("n")
+    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(distinct).toLocalIterator()}
     if not counts:
         return Languages({})
     sample_bytes = min(sample_bytes, MOST_BYTES // len(counts))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    part = 4 * -(-sample_bytes // sample_rows)
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    part = -(-sample_bytes // sample_rows)
     few = known.sparkSession.createDataFrame([(k, min(1.0, 4 * sample_rows / n)) for k, n in counts.items()], "lang string, share double")
+    # Room for blanks and signs, which normalizing drops.
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 4 * part, F.lit(0)) + 1) + 1
+    stretch = F.substring("text", place.cast("int"), F.lit(4 * part))
     # One short row per language, made from the counts above.
-    drawn = known.select("lang", "doc_id", F.substring("text", 1, part).alias("text"), spot.alias("spot"))
-    drawn = drawn.join(F.broadcast(few), "lang").filter("spot < share")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id"))
+    drawn = known.withColumn("spot", spot).join(F.broadcast(few), "lang").filter("spot < share")
+    drawn = drawn.select("lang", "spot", stretch.alias("text")).groupBy("lang", "spot").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
     samples: dict[str, bytes] = {}
     for row in drawn.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).orderBy("lang", "rank").toLocalIterator():
         own = normalized(pa.array([row["text"]], pa.string()))[0].tobytes()
-        samples[row["lang"]] = (samples.get(row["lang"], b"") + own[: -(-sample_bytes // sample_rows)])[:sample_bytes]
+        samples[row["lang"]] = (samples.get(row["lang"], b"") + own[:part])[:sample_bytes]
     return Languages(samples)
 
 

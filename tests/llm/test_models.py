@@ -28,18 +28,30 @@ def phrases(text, sample):
     return n
 
 
-def test_cross_parsing_against_brute_force(monkeypatch):
-    monkeypatch.setattr(language_id, "LANE", 1 << 20)
+@pytest.mark.parametrize("lane", [language_id.LANE, 1, 7])
+def test_cross_parsing_against_brute_force(monkeypatch, lane):
+    monkeypatch.setattr(language_id, "LANE", lane)
     rng = random.Random(2)
     samples = {k: "".join(rng.choice(s) for _ in range(300)) for k, s in (("a", "abc "), ("b", "bcd "))}
     own = language_id.Languages({k: v.encode() for k, v in samples.items()})
-    data, places = language_id.normalized(pa.array([None, "", "B1b"] + ["".join(rng.choice("abcdx ") for _ in range(90)) for _ in range(40)]))
+    data, places = language_id.normalized(pa.array([None, "", "B1b"] + ["".join(rng.choice("abcdx ") for _ in range(90)) for _ in range(40)] + ["".join(rng.choice("abcd ") for _ in range(3000)), "abab" * 400, "b" * 2000]))
     total, size = own.phrases(data, places)
     for i in range(len(size)):
         text = bytes(data[places[i] : places[i + 1]]).decode()
         assert [phrases(text, samples[k]) for k in "ab"] == total[i].tolist()
 
 
+def test_sample_is_of_distinct_whole_texts(spark):
+    header, rng = "same header for all " * 100, random.Random(4)
+    body = {"a": "abcde", "f": "fghij"}
+    rows = [(i, header + " ".join("".join(rng.choice(body[k]) for _ in range(5)) for _ in range(2000)), k) for i, k in enumerate("af" * 30)]
+    rows += [(100 + i, "copies " + "zz " * 50, k) for i, k in enumerate("af" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("doc_id")
+    own = language_id.learn(docs)
+    held = ["".join(rng.choice(body[k] + " ") for _ in range(400)) for k in "af"]
+    assert own.predict(pa.array(held))[0] == ["a", "f"]
+
+
 def test_lanes_cover_whole_texts():
     own = language_id.Languages({"x": b" ab ", "y": b" cd "})
     data, places = language_id.normalized(pa.array(["ab " * 5000 + "cd " * 6000, "ab"]))
