@@ -53,3 +53,12 @@ def test_rows_without_id_and_no_rows(spark):
     got = cover_tree.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0])], schema)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(None, 0, None, False), (4, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True)], key=repr)
     assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_columns_named_like_results_are_ignored(spark):
+    names = ["n_links", "component_id", "kept", "vector", "rep", "copies", "part"]
+    rows = [(i, [1.0, 0.1 * (i % 2)], *[f"{name} {i}" for name in names]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, " + ", ".join(f"{name} string" for name in names))
+    found = cover_tree.near_duplicates(df)
+    assert {"vec_id", "n_links", "component_id", "kept"} <= set(found.columns)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == [(i, 3, 0, i == 0) for i in range(4)]
