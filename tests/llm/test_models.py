@@ -153,8 +153,55 @@ def test_toxicity_held_out(spark, documents, odd_texts):
     assert toxicity.score(documents([]), model).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    ids = [r[0] for r in spark.range(3400).orderBy(F.xxhash64("id")).collect()]
+    rng = random.Random(8)
+    filler = [a + b for a in ("ba", "ke", "lo", "mi", "nu") for b in ("ran", "tel", "sim", "dor", "gup")]
+    rows = []
+    for place, i in enumerate(ids):
+        # Only the rows with the highest hashes have the second word.
+        words = [rng.choice(filler) for _ in range(12)] + ["nastyword" if place < 3200 else "zorgblat"]
+        rows.append((i, " ".join(rng.sample(words, len(words))), 1))
+    rows += [(4000 + i, " ".join(rng.choice(filler) for _ in range(12)), 0) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert model.find("nastyword") >= 0 and model.find("zorgblat") >= 0 and model.find("baran") < 0
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    rows = [(1, "alpha beta gamma (insult)", 1), (2, "alpha beta gamma (insult) insults!", 1), (3, "alpha beta gamma (insult)", 0), (4, None, 1), (5, "7 8", 1)]
+    batch = spark.createDataFrame(rows, "doc_id long, text string, label int").select("text", "label").toArrow().to_batches()
+    told = [r for b in toxicity._vocabularies(batch) for r in b.to_pylist()]
+    assert {(r["label"], w) for r in told for w in r["words"].split()} == {
+        *((1, w) for w in ("alpha", "beta", "gamma", "insult", "insults")), *((0, w) for w in ("alpha", "beta", "gamma", "insult"))
+    }
+    own = pa.record_batch([pa.array([1, 0], pa.int32()), pa.array(["insult insults", "insult"])], ["label", "words"])
+    found = {r["word"]: (r["s1"], r["s0"]) for b in toxicity._support([own]) for r in b.to_pylist()}
+    assert found["insul"] == found["insult"] == found["insult$"] == (1, 1) and found["insults$"] == (1, 0)
+
+
 # Quality
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    ids = [r[0] for r in spark.range(8600).orderBy(F.xxhash64("id")).collect()]
+    # Only the rows with the highest hashes are written in capitals.
+    rows = [(i, f"one | two {i} | three" if place < 8300 else f"ONE TWO {i} THREE", 0) for place, i in enumerate(ids)]
+    rows += [(9000 + i, f"one two {i} three", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = ranking.train(docs.drop("quality"), docs.select("doc_id", "quality"))
+    asked = spark.createDataFrame([(1, "one | two 7 | three"), (2, "ONE TWO 8 THREE"), (3, "one two 9 three")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in ranking.score(asked, model).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_cut_is_an_exact_order_statistic(spark):
+    rng = random.Random(9)
+    values = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-9, 9) for _ in range(9000)] + [0.25] * 5000 + [0.0, -0.0]
+    keys = spark.createDataFrame([(int(k),) for k in ranking._ordered(np.array(values))], "key long").persist()
+    for rank in (0, 7, 4500, 9100, len(values) - 1):
+        assert ranking._at_rank(keys, rank) == sorted(values)[rank]
+    keys.unpersist()
+
+
 def test_quality_held_out(spark, documents, odd_texts):
     rng = random.Random(6)
     rows = []
