@@ -65,10 +65,19 @@ def _stored_columns(rows: DataFrame) -> list[Column]:
     return columns
 
 
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
+
+
+def _by_part(placed: DataFrame) -> DataFrame:
+    """Rows of a part together, a large part over several tasks."""
+    return placed.hint("rebalance", "part")
+
+
 def _placed(rows: DataFrame, parts: int) -> DataFrame:
     """Rows as they are stored. ``id`` is a signed hash of the key, for joins; the key itself is what is unique."""
     stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows))
-    return stored.withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
+    return stored.withColumn("part", _part(parts))
 
 
 def refresh_catalog(rows: DataFrame, path: str, parts: int = PARTS) -> None:
@@ -80,7 +89,7 @@ def refresh_catalog(rows: DataFrame, path: str, parts: int = PARTS) -> None:
     _point(spark, path, 0, parts, "ignore")
     number = _current(spark, path)[0] + 1
     # What a refresh that was cut short has left under this number goes.
-    _placed(rows, parts).repartition("part").write.mode("overwrite").partitionBy("part").parquet(_snapshot(path, number))
+    _by_part(_placed(rows, parts)).write.mode("overwrite").partitionBy("part").parquet(_snapshot(path, number))
     _point(spark, path, number, parts, "append")
 
 
@@ -94,11 +103,13 @@ def merge_into_catalog(spark: SparkSession, path: str, batch: DataFrame) -> Data
         refresh_catalog(spark.createDataFrame([], schemas.TRACKS), path, parts)
         number, parts = _current(spark, path)
     order = F.col("seq").cast("bigint").alias("seq")
-    touched = [row["part"] for row in _placed(batch, parts).select("part").distinct().collect()]  # at most ``parts``
+    # Worked out once, for its parts and for its rows.
+    batch = cut_lineage(batch.select(*_stored_columns(batch), order))
+    touched = [row["part"] for row in batch.select(_part(parts).alias("part")).distinct().collect()]  # at most ``parts``
     stored = _parts_of(spark, path).filter(F.col("part").isin(touched)).drop("id", "part").withColumn("seq", F.lit(0).cast("bigint"))
-    merged = upsert_tracks(stored, batch.select(*_stored_columns(batch), order))
+    merged = upsert_tracks(stored, batch)
     # Written before the parts that it was read from are replaced.
     made = cut_lineage(_placed(merged, parts))
-    made.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
+    _by_part(made).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
         _snapshot(path, number))
     return read_catalog(spark, path)
