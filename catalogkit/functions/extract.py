@@ -154,8 +154,9 @@ def cover_candidate_urls(mbid: ColumnOrName) -> Column:
 
 
 def _path_part(path: Column, from_end: int) -> Column:
-    parts = F.split(path, r"[/\\]")
-    return F.coalesce(F.get(parts, F.size(parts) - from_end), F.lit(""))
+    """A part counted from the end, empty where there is none."""
+    deep = F.concat(F.lit("/" * from_end), T.slashed(path))
+    return F.coalesce(F.substring_index(F.substring_index(deep, "/", -from_end), "/", 1), F.lit(""))
 
 
 def parse_catalog_path(rel_path: ColumnOrName) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,24 +108,42 @@ def trim_markup(value: ColumnOrName) -> Column:
     return F.btrim(col(value), F.lit(" \t\r\n*#-_"))
 
 
+def slashed(path: ColumnOrName) -> Column:
+    """Path with one kind of separator."""
+    return F.replace(col(path), F.lit("\\"), F.lit("/"))
+
+
 def file_name(path: ColumnOrName) -> Column:
     """Text after the last path separator."""
-    return F.regexp_extract(col(path), r"(?s)([^/\\]*)$", 1)
+    return F.substring_index(slashed(path), "/", -1)
+
+
+def _named(path: ColumnOrName, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(name, size)``, the size being that of the extension with its dot; a dot in front begins none.
+
+    The path is read once, as filters on the result are pushed down with all that it is made of.
+    """
+
+    def sized(name: Column) -> Column:
+        size = F.length(F.substring_index(name, ".", -1)) + 1
+        return use(name, F.when(size < F.length(name), size).otherwise(0))
+
+    return let(file_name(path), sized)
 
 
 def file_stem(path: ColumnOrName) -> Column:
     """File name without its last extension."""
-    return F.regexp_replace(file_name(path), r"(?s)^(.+)\.[^.]*$", "$1")
+    return _named(path, lambda name, size: F.substring(name, F.lit(1), F.length(name) - size))
 
 
 def file_extension(path: ColumnOrName) -> Column:
     """Lower-case extension with its dot, or empty."""
-    return ascii_lower(F.regexp_extract(file_name(path), r"(?s)^.+(\.[^.]*)$", 1))
+    return ascii_lower(_named(path, lambda name, size: F.substring(name, F.length(name) - size + 1, size)))
 
 
 def parent_folder(path: ColumnOrName) -> Column:
     """Path without its last part, or empty."""
-    return F.regexp_extract(col(path), r"(?s)^(.*)[/\\][^/\\]*$", 1)
+    return let(col(path), lambda full: F.substring(full, F.lit(1), F.length(full) - F.length(file_name(full)) - 1))
 
 
 def split_numbered(stem: ColumnOrName, separators: list[str], need_digit: bool) -> Column:
