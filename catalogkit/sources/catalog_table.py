@@ -65,19 +65,15 @@ def _stored_columns(rows: DataFrame) -> list[Column]:
     return columns
 
 
-def _part(parts: int) -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
-
-
 def _by_part(placed: DataFrame) -> DataFrame:
     """Rows of a part together, a large part over several tasks."""
     return placed.hint("rebalance", "part")
 
 
-def _placed(rows: DataFrame, parts: int) -> DataFrame:
+def _placed(rows: DataFrame, parts: int, *others: Column) -> DataFrame:
     """Rows as they are stored. ``id`` is a signed hash of the key, for joins; the key itself is what is unique."""
-    stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows))
-    return stored.withColumn("part", _part(parts))
+    stored = rows.select(F.xxhash64(*KEY).alias("id"), *_stored_columns(rows), *others)
+    return stored.withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
 
 
 def refresh_catalog(rows: DataFrame, path: str, parts: int = PARTS) -> None:
@@ -104,10 +100,10 @@ def merge_into_catalog(spark: SparkSession, path: str, batch: DataFrame) -> Data
         number, parts = _current(spark, path)
     order = F.col("seq").cast("bigint").alias("seq")
     # Worked out once, for its parts and for its rows.
-    batch = cut_lineage(batch.select(*_stored_columns(batch), order))
-    touched = [row["part"] for row in batch.select(_part(parts).alias("part")).distinct().collect()]  # at most ``parts``
+    batch = cut_lineage(_placed(batch, parts, order))
+    touched = [row["part"] for row in batch.select("part").distinct().collect()]  # at most ``parts``
     stored = _parts_of(spark, path).filter(F.col("part").isin(touched)).drop("id", "part").withColumn("seq", F.lit(0).cast("bigint"))
-    merged = upsert_tracks(stored, batch)
+    merged = upsert_tracks(stored, batch.drop("id", "part"))
     # Written before the parts that it was read from are replaced.
     made = cut_lineage(_placed(merged, parts))
     _by_part(made).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
