@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogkit.operators import lyrics, matching
+from catalogkit.session import once
 from catalogkit.sources import requests, responses
 
 from . import views
@@ -239,7 +240,7 @@ def parse_release_tracks(spark, sf_dir):
         return F.struct(F.lit(status).alias("status"), date.alias("date"), media.alias("media"))
 
     rows = body(orders(spark, sf_dir), releases=F.array(release("Bootleg", "R"), release("Official", "A"), release("Pseudo-Release", "N")))
-    return rows.select("l_orderkey", responses.parse_musicbrainz_releases("body").alias("r")).select(
+    return once(rows.select("l_orderkey", "body"), {"r": responses.parse_musicbrainz_releases("body")}).select(
         "l_orderkey", F.col("r.release_date").alias("date"), F.explode("r.tracks").alias("t")
     ).select(
         "l_orderkey", "date", F.col("t.position").cast("bigint").alias("position"), "t.title", "t.artist",
@@ -271,7 +272,7 @@ def parse_single_release(spark, sf_dir):
             "media": F.array(F.struct(F.transform("lines", track).alias("tracks"))),
         },
     )
-    return rows.select("l_orderkey", responses.parse_musicbrainz_release("body").alias("r")).select(
+    return once(rows.select("l_orderkey", "body"), {"r": responses.parse_musicbrainz_release("body")}).select(
         "l_orderkey", "r.release_id", "r.artist", F.explode("r.tracks").alias("t")
     ).select(
         "l_orderkey", "release_id", "artist", F.col("t.position").cast("bigint").alias("position"), "t.title", F.col("t.artist").alias("track_artist")
@@ -380,7 +381,8 @@ def parse_vdb_album(spark, sf_dir):
         artists=F.transform("lines", artist),
         tracks=F.transform("lines", track),
     )
-    return rows.select("l_orderkey", responses.parse_vdb_album("body").alias("r")).select(
+    # Bound once: the explode below brings a filter that would parse each body twice more.
+    return once(rows.select("l_orderkey", "body"), {"r": responses.parse_vdb_album("body")}).select(
         "l_orderkey", "r.title", F.col("r.title_i18n.japanese").alias("title_japanese"), "r.artist", "r.release_date", F.explode("r.tracks").alias("t")
     ).select(
         "l_orderkey", "title", "title_japanese", "artist", "release_date", F.col("t.position").cast("bigint").alias("position"),
