@@ -582,20 +582,25 @@ def _scalar_text(value: Column) -> Column:
 
 def _property_text(value: Column) -> Column:
     parts = F.filter(F.transform(_variants(value), _scalar_text), lambda v: v != "")
-    return F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.array_join(parts, ", ")).otherwise(
-        _scalar_text(value)
-    )
+    return F.coalesce(F.array_join(parts, ", "), _scalar_text(value))
+
+
+def _pairs(entry: Column) -> Column:
+    """ARRAY<STRUCT<key, text>> of the pairs that have a value, the last first; each is read once for all keys."""
+
+    def pair(p: Column) -> Column:
+        value = F.try_variant_get(p, "$[1]", "variant")
+        return F.struct(
+            F.try_variant_get(p, "$[0]", "string").alias("key"),
+            let(value, lambda v: F.when(v.isNotNull(), _property_text(v))).alias("text"),
+        )
+
+    return F.reverse(F.filter(F.transform(_variants(entry), pair), lambda p: p["text"].isNotNull()))
 
 
 def _property(pairs: Column, key: str) -> Column:
     """Text of the last pair with the key, or empty."""
-    hits = F.filter(
-        pairs,
-        lambda p: (F.try_variant_get(p, "$[0]", "string") == key)
-        & F.try_variant_get(p, "$[1]", "variant").isNotNull(),
-    )
-    last = F.get(F.reverse(hits), 0)
-    return _nt(let(F.try_variant_get(last, "$[1]", "variant"), _property_text))
+    return _nt(F.get(F.filter(pairs, lambda p: p["key"] == key), 0)["text"])
 
 
 THWIKI_ROWS = "array<struct<id: int, title: string, artist: string>>"
@@ -639,9 +644,9 @@ def parse_thwiki_album(body: ColumnOrName) -> Column:
 
     def build(doc: Column) -> Column:
         whole = F.size(_variants(doc)) >= 2
-        album = F.when(whole, F.try_variant_get(doc, "$[0]", "array<variant>"))
+        album = _pairs(F.when(whole, F.try_variant_get(doc, "$[0]", "variant")))
         listed = F.when(whole, F.try_variant_get(doc, "$[1]", "array<variant>"))
-        named = F.transform(listed, lambda entry: let(_variants(entry), track_facts))
+        named = F.transform(listed, lambda entry: let(_pairs(entry), track_facts))
 
         def release(head: Column) -> Column:
             tracks = F.transform(named, lambda t, i: row(t, i, head["artist"]))

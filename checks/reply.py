@@ -423,8 +423,9 @@ def parse_thwiki_album(spark, sf_dir):
     text_body = F.concat(
         F.lit("[["), F.array_join(head, ","), F.lit("],["), F.array_join(F.transform("lines", track), ","), F.lit("]]")
     )
-    rows = orders(spark, sf_dir).select("l_orderkey", responses.parse_thwiki_album(text_body).alias("r"))
-    return rows.select("l_orderkey", "r.title", "r.artist", F.explode("r.tracks").alias("t")).select(
+    rows = orders(spark, sf_dir).select("l_orderkey", text_body.alias("body"))
+    # Bound once: the explode below brings a filter that would parse each body again.
+    return once(rows, {"r": responses.parse_thwiki_album("body")}).select("l_orderkey", "r.title", "r.artist", F.explode("r.tracks").alias("t")).select(
         "l_orderkey", "title", "artist", F.col("t.position").cast("bigint").alias("position"), F.col("t.title").alias("track_title"),
         F.col("t.artist").alias("track_artist"), F.col("t.length_ms").cast("bigint").alias("length_ms"),
     )

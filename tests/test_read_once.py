@@ -52,3 +52,10 @@ def test_albums_asked_by_fingerprint_are_made_once(spark, tables):
 @pytest.mark.parametrize("name", ["parse_vdb_album", "parse_release_tracks", "parse_single_release"])
 def test_a_body_is_parsed_once(spark, tables, name):
     assert _plan(entry.queries()[name](spark, tables)).count("from_json") == 1
+
+
+def test_pairs_of_a_wiki_body_are_read_once(spark, tables):
+    made = entry.queries()["parse_thwiki_album"](spark, tables)
+    # The list of tracks, and the second part of a pair of the album and of a track.
+    assert _plan(made).count("$[1]") == 3
+    assert made.count() == 3

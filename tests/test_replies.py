@@ -144,3 +144,15 @@ def test_reply_store_is_not_shuffled(spark, tmp_path):
     plan = R.answers(asked.hint("merge"), store.hint("merge"), stored=True)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
     spark.sql("DROP TABLE replies_of_test")
+
+
+def test_wiki_properties_of_odd_pairs(value):
+    body = (
+        '[[["alname","old"],["circle",["A","",7]],["alname","new"],["date",null],["event"],[],["x","y"]],'
+        '[[["name","a"],["time","61"],["artist",""],["vocal","v"]],[["name",null],["name","b"],["trackno",5]],[["name","c"],["name",""]],[]]]'
+    )
+    got = value(R.parse_thwiki_album(F.lit(body)))
+    assert (got.title, got.artist, got.release_date, got.event, got.cover_url) == ("new", "A, 7", "", "", "")
+    assert [(t.position, t.title, t.artist, t.length_ms) for t in got.tracks] == [(1, "a", "v", 61000), (5, "b", "A, 7", 0)]
+    for broken in ("", "[]", "[[]]", "{}", "[[],[]]", "[1,2]", "nothing"):
+        assert value(R.parse_thwiki_album(F.lit(broken))).tracks == []
