@@ -17,15 +17,17 @@ COVER_NAMES = ("cover.jpg", "cover.jpeg", "cover.png")
 
 def approval_targets(items: DataFrame, flac_root: str = "flac", mp3_root: str = "mp3") -> DataFrame:
     """Items with their extension, target folders and target file name."""
-    inner = join_path(text.sanitize_filename("artist"), text.sanitize_filename("album"))
-    return items.withColumns(
+    # In steps of several columns each, so that no name is cleaned twice.
+    named = {f"_{c}": text.sanitize_filename(c) for c in ("artist", "album", "title")}
+    inner = items.withColumns(named).withColumn("_inner", join_path("_artist", "_album"))
+    return inner.withColumns(
         {
             "ext": text.file_extension("path"),
-            "flac_dir": join_path(F.lit(flac_root), inner),
-            "mp3_dir": join_path(F.lit(mp3_root), inner),
-            "base_name": F.concat("track_no", F.lit(". "), text.sanitize_filename("title")),
+            "flac_dir": join_path(F.lit(flac_root), "_inner"),
+            "mp3_dir": join_path(F.lit(mp3_root), "_inner"),
+            "base_name": F.concat("track_no", F.lit(". "), "_title"),
         }
-    )
+    ).drop("_inner", *named)
 
 
 def plan_approval(
@@ -40,9 +42,15 @@ def plan_approval(
     and length of files in the target trees.
     """
     placed = approval_targets(items.filter(~F.col("is_processed")), flac_root, mp3_root)
-    flac_file = join_path("flac_dir", F.concat("base_name", F.lit(".flac")))
-    mp3_file = join_path("mp3_dir", F.concat("base_name", F.lit(".mp3")))
-    mp3_in_flac = join_path("flac_dir", F.concat("base_name", F.lit(".mp3")))
+    # Made below the explode, whose steps name each of them several times.
+    aimed = placed.filter(F.col("ext").isin(".flac", ".mp3")).withColumns(
+        {
+            "flac_file": join_path("flac_dir", F.concat("base_name", F.lit(".flac"))),
+            "mp3_file": join_path("mp3_dir", F.concat("base_name", F.lit(".mp3"))),
+            "mp3_in_flac": join_path("flac_dir", F.concat("base_name", F.lit(".mp3"))),
+        }
+    )
+    flac_file, mp3_file, mp3_in_flac = F.col("flac_file"), F.col("mp3_file"), F.col("mp3_in_flac")
     src = F.col("path")
 
     def step(action: str, source: Column, target: Column, reason: str) -> Column:
@@ -61,7 +69,7 @@ def plan_approval(
         step("move", src, mp3_file, "approved_mp3"),
         step("copy", mp3_file, mp3_in_flac, "mp3_fallback"),
     )
-    steps = placed.filter(F.col("ext").isin(".flac", ".mp3")).select(
+    steps = aimed.select(
         F.explode(F.when(F.col("ext") == ".flac", flac_steps).otherwise(mp3_steps)).alias("s")
     ).select("s.*")
 

@@ -59,3 +59,11 @@ def test_pairs_of_a_wiki_body_are_read_once(spark, tables):
     # The list of tracks, and the second part of a pair of the album and of a track.
     assert _plan(made).count("$[1]") == 3
     assert made.count() == 3
+
+
+@pytest.mark.parametrize("name, branches", [("approval_plan", 2), ("approval_collisions", 1)])
+def test_names_of_approved_items_are_cleaned_once(spark, tables, name, branches):
+    made = entry.queries()[name](spark, tables)
+    # Two for each of artist, album and title in a branch (files, covers).
+    assert _plan(made).count("rtrim(") <= 6 * branches
+    made.count()
