@@ -61,6 +61,12 @@ def test_pairs_of_a_wiki_body_are_read_once(spark, tables):
     assert made.count() == 3
 
 
+def test_orders_of_tagged_items_are_gathered_once(spark, tables):
+    made = entry.queries()["tagged_items"](spark, tables)
+    assert "collect_list" not in _plan(made)
+    assert made.count() == 3
+
+
 @pytest.mark.parametrize("name, branches", [("approval_plan", 2), ("approval_collisions", 1)])
 def test_names_of_approved_items_are_cleaned_once(spark, tables, name, branches):
     made = entry.queries()[name](spark, tables)
