@@ -180,6 +180,35 @@ def test_toxicity_counts_near_copies_once(spark):
     assert found["insul"] == found["insult"] == found["insult$"] == (1, 1) and found["insults$"] == (1, 0)
 
 
+def test_toxicity_has_no_cap_on_words(spark):
+    """Any number of telling words, of any length, with apostrophes or marks, from texts of any length."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    telling = [*dict.fromkeys(word(9) for _ in range(1000)), word(40), "qu" + "'" + word(7), "\u0915\u093f\u0924\u093e\u092c"]
+    short, filler = "zyxwv", ["ba" + word(4) for _ in range(30)]
+    texts_of = [[] for _ in range(300)]
+    for w in telling:
+        for i in rng.sample(range(300), 12):
+            texts_of[i].append(w)
+    rows = [(i, " ".join([*own, *rng.choices(filler, k=5)]), 1) for i, own in enumerate(texts_of)]
+    rows += [(1000 + i, f"{short} {filler[i]}", 1) for i in range(20)]
+    rows += [(2000 + i, " ".join(rng.choices(filler, k=12)), 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert [w for w in [*telling, short] if model.find(w) < 0] == [] and all(model.find(w) < 0 for w in filler)
+    hits = model.score(pa.array(telling))[1]
+    assert all(len(own) == 1 and w.startswith(own[0]) for w, own in zip(telling, hits))
+
+
+def test_character_model_knows_all_words(spark):
+    words = {"the$": 5, "then$": 2, "über$": 1}
+    rows = spark.createDataFrame(list(words.items()), "word string, total long")
+    grams = {r.gram: r.total for r in toxicity.letter_trigrams(rows).collect()}
+    assert grams == {"^^t": 7, "^th": 7, "the": 7, "he$": 5, "hen": 2, "en$": 2, "^^ü": 1, "^üb": 1, "übe": 1, "ber": 1, "er$": 1}
+    made, plain = toxicity.CharacterModel({}, grams), toxicity.CharacterModel(words)
+    assert (made.counts, made.before) == (plain.counts, plain.before)
+
+
 # Quality
 
 def test_quality_learns_from_all_labelled_rows(spark):
