@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.catalog import KEY, upsert_tracks
-from ..session import cut_lineage
+from ..session import written
 
 TEXT_DEFAULT, NUMBER_DEFAULT = "", 0
 #: Parts of a snapshot unless a refresh says otherwise.
@@ -100,12 +100,12 @@ def merge_into_catalog(spark: SparkSession, path: str, batch: DataFrame) -> Data
         number, parts = _current(spark, path)
     order = F.col("seq").cast("bigint").alias("seq")
     # Worked out once, for its parts and for its rows.
-    batch = cut_lineage(_placed(batch, parts, order))
+    batch = written(_placed(batch, parts, order))
     touched = [row["part"] for row in batch.select("part").distinct().collect()]  # at most ``parts``
     stored = _parts_of(spark, path).filter(F.col("part").isin(touched)).drop("id", "part").withColumn("seq", F.lit(0).cast("bigint"))
     merged = upsert_tracks(stored, batch.drop("id", "part"))
     # Written before the parts that it was read from are replaced.
-    made = cut_lineage(_placed(merged, parts))
+    made = written(_placed(merged, parts))
     _by_part(made).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
         _snapshot(path, number))
     return read_catalog(spark, path)
